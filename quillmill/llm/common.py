@@ -58,3 +58,17 @@ def arrow_bounds(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, "512")
+
+
+def bounded_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, chars: int) -> DataFrame:
+    """Rows to fit a classifier on: of each label about `chars` characters, all while it has fewer.
+
+    Rows are drawn by the hash of their id, so that reruns draw the same. Labels are few: a row
+    for each comes to the driver.
+    """
+    sums = docs.groupBy(label_col).agg(F.sum(F.length(text_col)).alias("n")).filter("n > 0").collect()
+    if not sums:
+        return docs.filter(F.lit(False))
+    shares = F.create_map(*[F.lit(x) for r in sums for x in (r[0], min(1.0, chars / r[1]))])
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    return docs.filter(draw < shares[F.col(label_col)])

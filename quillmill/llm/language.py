@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds
+from .common import arrow_bounds, bounded_sample
 
 SAMPLE_CHARS = 6_000_000
 MAX_WORDS = 150_000
@@ -94,16 +94,6 @@ class LanguageModel:
         return self.langs[best], float(1.0 / np.exp(score - score[best]).sum())
 
 
-def in_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_chars: int) -> DataFrame:
-    """Labelled rows whose id's hash is under their language's share: about sample_chars characters of each."""
-    sums = docs.groupBy(lang_col).agg(F.sum(F.length(text_col)).alias("n")).filter("n > 0").collect()  # a row for each language
-    if not sums:
-        return docs.filter(F.lit(False))
-    shares = F.create_map(*[F.lit(x) for r in sums for x in (r[0], min(1.0, sample_chars / r[1]))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return docs.filter(draw < shares[F.col(lang_col)])
-
-
 def fit_language_model(
     labelled: DataFrame,
     *,
@@ -115,7 +105,7 @@ def fit_language_model(
     max_ngrams: int = MAX_NGRAMS,
 ) -> LanguageModel:
     rows = labelled.select(id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = in_sample(rows, id_col, text_col, lang_col, sample_chars)
+    rows = bounded_sample(rows, id_col, text_col, lang_col, sample_chars)
     word = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"(\p{L}+)"), F.lit(1)))
     counts = rows.select(F.col(lang_col).alias("lang"), word.alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     pairs = lambda df: df.groupBy("w").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))

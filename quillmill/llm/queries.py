@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, secrets
+from . import ann, decontamination, language, mixing, near_dedup, quality, secrets, substrings, tokens, toxicity
 from .common import crc_bucket, cut, read_table
 
 
@@ -45,11 +45,48 @@ def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket(F.col("doc_id"), 3) == 1
+    labels = read_table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(docs, labels.filter(~held_out))
+    out = toxicity.score_texts(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    return tokens.document_token_counts(read_table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "score", (F.col("score") >= 0.5).alias("keep"), "posterior", "votes")
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_scan_secrets": op7_scan_secrets,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_quality": op9_quality,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 OP2_SQL = r"""
