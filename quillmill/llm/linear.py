@@ -66,26 +66,34 @@ def constant(features: Features, score: float) -> LinearModel:
     return LinearModel(features, np.zeros(1 << features.bits, np.float32), float(np.log(score / (1 - score))))
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, width: int, least: int) -> np.ndarray:
-    """Naive Bayes: log of the share of a feature in class 1 over that in class 0, 0 for rare ones."""
-    counts = np.zeros((2, width))
-    for x, target in zip(rows, y, strict=True):
-        counts[1, x] += target
-        counts[0, x] += 1 - target
-    share = (counts + 1) / (np.array([[(1 - y).sum()], [y.sum()]]) + 2)
-    return np.where(counts.sum(axis=0) >= least, np.log(share[1] / share[0]), 0.0)
+def log_count_ratios(counts: np.ndarray, totals: tuple[float, float], least: int, slight: float) -> np.ndarray:
+    """Naive Bayes: log of the share of a feature in class 1 over that in class 0, 0 for rare and for telltale-less ones."""
+    share = (counts + 1) / (np.array(totals)[:, None] + 2)
+    ratio = np.log(share[1] / share[0])
+    ratio[(counts.sum(axis=0) < least) | (np.abs(ratio) < slight)] = 0.0
+    return ratio
 
 
-def fit(features: Features, texts: list[str], y: np.ndarray, *, naive_bayes: bool, rounds: int = 80, rate: float = 0.1, l2: float = 1e-3, least: int = 5) -> LinearModel:
+def fit(features: Features, texts: list[str], y: np.ndarray, *, naive_bayes: bool, rounds: int = 60, rate: float = 0.15, l2: float = 1e-3, least: int = 5, slight: float = 0.3) -> LinearModel:
     """Full-batch Adam on the mean log loss; both classes weigh the same. y: targets from 0 to 1."""
     y = np.asarray(y, np.float64)
     width = 1 << features.bits
     if not len(y) or y.sum() < 1e-9 or (1 - y).sum() < 1e-9:
         return constant(features, min(0.99, max(0.01, float(y.mean()) if len(y) else 0.01)))
-    rows = [features.present(t).astype(np.int32) for t in texts]
-    ratio = log_count_ratios(rows, y, width, least) if naive_bayes else np.where(np.bincount(np.concatenate(rows), minlength=width) >= least, 1.0, 0.0)
-    rows = [x[ratio[x] != 0] for x in rows]
-    norms = np.array([max(1, len(features.present(t))) for t in texts]) ** -0.5
+    counts, norms = np.zeros((2, width)), np.empty(len(y))
+    for i, (text, target) in enumerate(zip(texts, y, strict=True)):
+        x = features.present(text)
+        norms[i] = max(1, len(x)) ** -0.5
+        counts[1, x] += target
+        counts[0, x] += 1 - target
+    ratio = log_count_ratios(counts, ((1 - y).sum(), y.sum()), least, slight) if naive_bayes else (counts.sum(axis=0) >= least).astype(np.float64)
+    del counts
+    # Only the columns that count are fitted; the rest has weight 0.
+    used = np.flatnonzero(ratio)
+    place = np.full(width, -1, np.int32)
+    place[used] = np.arange(len(used))
+    rows = [c[c >= 0] for c in (place[features.present(t)] for t in texts)]
+    ratio, every, width = ratio[used], width, len(used)
     weight = y / y.sum() / 2 + (1 - y) / (1 - y).sum() / 2
     w, bias = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -100,9 +108,11 @@ def fit(features: Features, texts: list[str], y: np.ndarray, *, naive_bayes: boo
             pull = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y[at : at + BLOCK]) * weight[at : at + BLOCK]
             grad[:width] += np.bincount(flat, weights=(pull * norms[at : at + BLOCK])[of], minlength=width)
             grad[width] += pull.sum()
-        grad[:width] = grad[:width] * ratio + l2 * w / width**0.5
+        grad[:width] = grad[:width] * ratio + l2 * w / max(1, width) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= step[:width]
         bias -= step[width]
-    return LinearModel(features, (w * ratio).astype(np.float32), float(bias))
+    weights = np.zeros(every, np.float32)
+    weights[used] = w * ratio
+    return LinearModel(features, weights, float(bias))

@@ -46,7 +46,7 @@ def labellers(text: Column) -> dict[str, tuple[Column, Column]]:
     words = F.array_remove(F.split(text, r"\s+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
     n, chars, letters = F.size(words), F.length(text), _kept(text, r"\p{L}")
-    symbols = _share(_kept(text, r"^\p{L}\p{N}\s.,;:!?'\"()\-"), chars)
+    symbols = _share(F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s.,;:!?'\"()\-]+", "")), chars)
     capitals = _share(_kept(text, r"\p{Lu}"), letters)
     repeats = _share(n - F.size(F.array_distinct(words)), n)
     line_repeats = _share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines))

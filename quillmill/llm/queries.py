@@ -76,6 +76,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "pipeline": pipeline,
 }
 
 OP2_SQL = r"""

@@ -24,8 +24,8 @@ from . import linear
 from .common import arrow_bounds, bounded_sample, cut, small
 
 SAMPLE_CHARS = 6_000_000
-LENGTHS = (3, 4, 5)
-BITS = 20
+LENGTHS = (4, 5, 6, 8)
+BITS = 22
 THRESHOLD = 0.7
 
 
