@@ -110,14 +110,16 @@ y AS (SELECT conv_id, a[:len(a) - 1] AS inputs, list_transform(range(2, len(a) +
 
 
 def stream(by: str, ids: str) -> str:
-    """CTEs: all tokens of the documents in order, in one list (for each `by`)."""
+    """CTE: the tokens of the documents in order, numbered (for each `by`)."""
     part = f"{by}, " if by else ""
-    return f"al AS (SELECT {part}flatten(list({ids} ORDER BY doc_id)) AS a FROM tk WHERE len(ids) > 0 {'GROUP BY ' + by if by else ''})"
+    over = f"PARTITION BY {by} " if by else ""
+    return f"al AS (SELECT {part}t, row_number() OVER ({over}ORDER BY doc_id, j) - 1 AS pos FROM (SELECT {part}doc_id, unnest({ids}) AS t, unnest(range(1, len({ids}) + 1)) AS j FROM tk WHERE len(ids) > 0))"
 
 
 def windows(by: str, width: int, stride: int) -> str:
     part = f"{by}, " if by else ""
-    return f"wi AS (SELECT {part}k, a[k * {stride} + 1 : k * {stride} + {width}] AS v FROM (SELECT {part}a, unnest(range(0, greatest(0, (len(a) - {width}) // {stride} + 1))) AS k FROM al WHERE len(a) >= {width}))"
+    first = f"greatest(0, (pos - {width}) // {stride} + 1)"
+    return f"wi AS (SELECT {part}k, list(t ORDER BY pos) AS v FROM (SELECT {part}t, pos, unnest(range({first}, pos // {stride} + 1)) AS k FROM al) WHERE pos < k * {stride} + {width} GROUP BY {part}k HAVING count(*) = {width})"
 
 
 DOCTOK = f"WITH {VOCAB.strip()}, {tokenized('tk', 'documents', 'doc_id', 'text')}"
