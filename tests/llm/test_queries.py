@@ -61,7 +61,8 @@ def test_op4_removes_what_stands_in_the_kept_document(spark, texts):
         grams[i] = {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
     for r in out:
         span = w[r["doc_id"]][r["first_word"] : r["first_word"] + 16]
-        assert r["doc_id"] > r["kept_id"] and len({tuple(span[k : k + 5]) for k in range(12)} & grams[r["kept_id"]]) >= 8
+        own = {tuple(span[k : k + 5]) for k in range(12)}
+        assert r["doc_id"] > r["kept_id"] and len(own & grams[r["kept_id"]]) >= 0.6 * len(own)
     # A passage of 50 equal words is missed nowhere.
     first, wanted = {}, set()
     for i in sorted(w):
