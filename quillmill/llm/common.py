@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path for removed(); for wide or long intermediates."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most `rows` rows, else df as it is.
 
@@ -60,6 +73,11 @@ def arrow_bounds(spark: SparkSession) -> None:
         spark.conf.set(key, "512")
 
 
+def draw(id_: Column) -> Column:
+    """A number from 0 up to 1 from the hash of an id, the same in every run."""
+    return F.pmod(F.xxhash64(F.coalesce(id_.cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+
+
 def bounded_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, chars: int) -> DataFrame:
     """Rows to fit a classifier on: of each label about `chars` characters, all while it has fewer.
 
@@ -70,5 +88,4 @@ def bounded_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
     if not sums:
         return docs.filter(F.lit(False))
     shares = F.create_map(*[F.lit(x) for r in sums for x in (r[0], min(1.0, chars / r[1]))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return docs.filter(draw < shares[F.col(label_col)])
+    return docs.filter(draw(F.col(id_col)) < shares[F.col(label_col)])

@@ -23,13 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import bounded_sample
+from .common import draw
 from .toxicity import score_texts
 
 SAMPLE_CHARS = 4_000_000
 LENGTHS = (1, 2, 3)
 BITS = 18
 ROUNDS = 50
+#: Labellers are built to be precise: each is taken to be right on at least this share of the good
+#: documents it votes on. Junk shows in one way at a time, so that without the bound estimation
+#: would explain a lone bad vote by an inaccurate labeller.
+PRECISE = 0.999
+KEEP = 0.5
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -41,22 +46,34 @@ def _kept(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{pattern}]+", ""))
 
 
-def labellers(text: Column) -> dict[str, tuple[Column, Column]]:
-    """Name: (votes bad, votes good); neither is an abstention."""
-    words = F.array_remove(F.split(text, r"\s+"), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    n, chars, letters = F.size(words), F.length(text), _kept(text, r"\p{L}")
-    symbols = _share(F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s.,;:!?'\"()\-]+", "")), chars)
-    capitals = _share(_kept(text, r"\p{Lu}"), letters)
-    repeats = _share(n - F.size(F.array_distinct(words)), n)
-    line_repeats = _share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines))
-    stops, length = _share(_kept(text, ".!?"), n), _share(letters, n)
+def measures(text: Column) -> dict[str, Column]:
+    words, lines = F.col("_words"), F.col("_lines")
     return {
-        "length": (n < 10, n >= 40),
+        "n": F.size(words),
+        "distinct": F.size(F.array_distinct(words)),
+        "lines": F.size(lines),
+        "distinct_lines": F.size(F.array_distinct(lines)),
+        "chars": F.length(text),
+        "letters": _kept(text, r"\p{L}"),
+        "capitals": _kept(text, r"\p{Lu}"),
+        "symbols": F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s.,;:!?'\"()\-]+", "")),
+        "stops": _kept(text, ".!?"),
+    }
+
+
+def labellers() -> dict[str, tuple[Column, Column]]:
+    """Name: (votes bad, votes good) over the measures; neither is an abstention."""
+    m = {name: F.col(f"_m_{name}") for name in measures(F.lit(""))}
+    n = m["n"]
+    symbols, capitals = _share(m["symbols"], m["chars"]), _share(m["capitals"], m["letters"])
+    repeats, line_repeats = _share(n - m["distinct"], n), _share(m["lines"] - m["distinct_lines"], m["lines"])
+    stops, length = _share(m["stops"], n), _share(m["letters"], n)
+    return {
+        "length": (n < 3, n >= 40),
         "symbols": (symbols > 0.04, symbols < 0.01),
         "capitals": (capitals > 0.4, capitals < 0.15),
         "repeats": ((repeats > 0.8) & (n < 4000), repeats < 0.6),
-        "lines": (line_repeats > 0.3, (line_repeats < 0.1) & (F.size(lines) > 1)),
+        "lines": (line_repeats > 0.6, (line_repeats < 0.1) & (m["lines"] > 1)),
         "sentences": ((stops > 0.6) | ((n >= 40) & (stops < 0.01)), (stops > 0.02) & (stops < 0.4)),
         "word_length": ((length < 2) | (length > 12), (length > 3) & (length < 9)),
     }
@@ -65,26 +82,32 @@ def labellers(text: Column) -> dict[str, tuple[Column, Column]]:
 LABELLERS = ("length", "symbols", "capitals", "repeats", "lines", "sentences", "word_length")
 
 
-def votes(text: Column) -> Column:
-    """A string with g, b or - for each labeller."""
-    text = F.coalesce(text, F.lit(""))
-    return F.concat(*[F.when(bad, "b").when(good, "g").otherwise("-") for bad, good in labellers(text).values()])
+def with_votes(docs: DataFrame, text_col: str, out: str = "votes") -> DataFrame:
+    """docs with a string of g, b or - for each labeller. Words, lines and measures are computed once, in steps."""
+    keep = [docs[f"`{c}`"] for c in docs.columns if c != out]
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    rows = docs.select(*keep, F.array_remove(F.split(text, r"\s+"), "").alias("_words"), F.array_remove(F.split(text, "\n"), "").alias("_lines"))
+    rows = rows.select(*[rows[f"`{c}`"] for c in docs.columns if c != out], *[c.alias(f"_m_{x}") for x, c in measures(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).items()])
+    vote = F.concat(*[F.when(bad, "b").when(good, "g").otherwise("-") for bad, good in labellers().values()])
+    return rows.select(*[rows[f"`{c}`"] for c in docs.columns if c != out], vote.alias(out))
 
 
 def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
     """Posterior of good for each pattern; for each labeller its accuracy on good and on bad documents."""
+    if not patterns:
+        return {}, {}
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], np.float64)
-    good = np.array([[c == "g" for c in p] for p in names], np.float64).reshape(len(names), -1)
-    bad = np.array([[c == "b" for c in p] for p in names], np.float64).reshape(len(names), -1)
+    good = np.array([[c == "g" for c in p] for p in names], np.float64)
+    bad = np.array([[c == "b" for c in p] for p in names], np.float64)
     # A single bad vote outweighs: junk shows in one way, good text in all.
     post = np.where(bad.sum(axis=1) > 0, 0.1, 0.9)
     right = np.zeros((2, good.shape[1]))
-    for _ in range(rounds if len(names) else 0):
+    for _ in range(rounds):
         share = float(np.clip((n * post).sum() / n.sum(), 0.01, 0.99))
         for z, of in ((1, n * post), (0, n * (1 - post))):
             hit = good if z else bad
-            right[z] = np.clip(((of[:, None] * hit).sum(axis=0) + 1) / ((of[:, None] * (good + bad)).sum(axis=0) + 2), 0.001, 0.999)
+            right[z] = np.clip(((of[:, None] * hit).sum(axis=0) + 1) / ((of[:, None] * (good + bad)).sum(axis=0) + 2), PRECISE if z else 0.001, 0.999)
         odds = math.log(share / (1 - share)) + good @ np.log(right[1] / (1 - right[0])) + bad @ np.log((1 - right[1]) / right[0])
         post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
     return dict(zip(names, post.tolist(), strict=True)), {x: (float(right[1, i]), float(right[0, i])) for i, x in enumerate(LABELLERS) if i < right.shape[1]}
@@ -92,13 +115,22 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str,
 
 def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """docs with votes, posterior (of good, from the votes alone) and score (of the linear scorer)."""
-    counted = docs.groupBy(votes(F.col(text_col)).alias("p")).count().collect()
-    post, _ = estimate({r["p"]: r["count"] for r in counted})
+    marked = with_votes(docs, text_col)
+    counted = marked.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).collect()
+    post, _ = estimate({r["votes"]: r["n"] for r in counted})
     table = F.create_map(*[F.lit(x) for p in post.items() for x in p]) if post else F.create_map(F.lit(""), F.lit(0.5))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("post", table[votes(F.col("text"))])
-    rows = bounded_sample(rows.withColumn("good", F.col("post") >= 0.5), "id", "text", "good", sample_chars).select("id", "text", "post").toPandas().sort_values(["id", "text"])
+    chars = {good: sum(r["chars"] for r in counted if (post[r["votes"]] >= 0.5) == good) for good in (True, False)}
+    shares = {good: min(1.0, sample_chars / max(1, n)) for good, n in chars.items()}
+    # Drawn by id first, so that votes are counted for few rows.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("draw", draw(F.col("id")))
+    rows = with_votes(rows.filter(F.col("draw") < max(shares.values())), "text").withColumn("post", table[F.col("votes")])
+    rows = rows.filter(F.col("draw") < F.when(F.col("post") >= 0.5, shares[True]).otherwise(shares[False]))
+    rows = rows.select("id", "text", "post").toArrow().to_pandas().sort_values(["id", "text"])
     model = linear.fit(linear.Features(LENGTHS, BITS, lower=False), rows["text"].tolist(), rows["post"].to_numpy(np.float64), naive_bayes=False)
-    names = [docs[f"`{c}`"] for c in docs.columns if c not in ("votes", "posterior", "score")]
-    marked = docs.select(*names, votes(docs[f"`{text_col}`"]).alias("votes"))
-    marked = marked.withColumn("posterior", table[F.col("votes")])
-    return score_texts(marked, model, text_col=text_col)
+    kept = [marked[f"`{c}`"] for c in marked.columns if c not in ("posterior", "score")]
+    return score_texts(marked.select(*kept, table[marked["votes"]].alias("posterior")), model, text_col=text_col)
+
+
+def worth_keeping(score: Column, posterior: Column) -> Column:
+    """The scorer and the labellers decide together; very short texts have few n-grams to score."""
+    return (score + posterior) / 2 >= KEEP
