@@ -11,7 +11,7 @@ buckets, of fine buckets, then rows of one fine bucket of about 64 rows), so tha
 sees a source as a whole, however large its share.
 
 Null sources are one source, ordered last; null texts have no words; a source without words
-has target 0; repeated rows are documents of their own; an empty table gives an empty table.
+has target 0; a column of the name `mix` is replaced; repeated rows are documents of their own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -78,6 +78,7 @@ def mix_sources(
     source before the document), key. size: a column with a document's size, the number of
     words in `text` by default.
     """
+    docs = docs.drop("mix")
     size = n_words(F.col("text")) if size is None else size
     key = shuffle_key(F.col(id_col), seed)
     narrow = cut(docs.select(F.col(source_col).alias("_source"), size.alias("_size"), key.alias("_key")))
