@@ -185,7 +185,7 @@ def search(
 
     share = min(1.0, sample_rows / max(1, n_entries))
     draw = F.pmod(F.xxhash64("v", F.lit("tree")), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = entries.filter(draw).select("v").limit(sample_rows * 2).toPandas()["v"]
+    sample = entries.filter(draw).select("v").limit(sample_rows * 2).toArrow().to_pandas()["v"]
     tree = fit_tree(np.array(sample.tolist(), np.float64).reshape(len(sample), dim), k, recall)
     sent = vectors.sparkSession.sparkContext.broadcast(tree)
 

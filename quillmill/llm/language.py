@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_bounds, bounded_sample
 
 SAMPLE_CHARS = 6_000_000
-MAX_WORDS = 150_000
+MAX_WORDS = 100_000
 MAX_NGRAMS = 30_000
 LONGEST = 5
 UNKNOWN = "und"
@@ -106,31 +106,27 @@ def fit_language_model(
 ) -> LanguageModel:
     rows = labelled.select(id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = bounded_sample(rows, id_col, text_col, lang_col, sample_chars)
+    langs = sorted(r[0] for r in rows.select(lang_col).distinct().collect())
     word = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"(\p{L}+)"), F.lit(1)))
     counts = rows.select(F.col(lang_col).alias("lang"), word.alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    pairs = lambda df: df.groupBy("w").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))
-    counts = counts.persist()
-    top = {0: pairs(counts).orderBy(F.desc("all"), "w").limit(max_words).collect()}
-    for n in range(1, LONGEST + 1):
+    # A row for each word, a column for each language.
+    each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i, x in enumerate(langs)]
+    counts = counts.groupBy("w").agg(F.sum("n").alias("all"), *each).persist()
+    top = {0: counts.orderBy(F.desc("all"), "w").limit(max_words).drop("all").toArrow().to_pandas()} if langs else {}
+    for n in range(1, LONGEST + 1) if langs else ():
         at = F.sequence(F.lit(1), F.length("w") - n + 1)
-        grams = counts.filter(F.length("w") >= n).select("lang", "n", F.explode(F.transform(at, lambda i: F.substr("w", i, F.lit(n)))).alias("w"))
-        grams = grams.groupBy("lang", "w").agg(F.sum("n").alias("n"))
-        top[n] = pairs(grams).orderBy(F.desc("all"), "w").limit(max_ngrams).collect()
+        grams = counts.filter(F.length("w") >= n).withColumn("w", F.explode(F.transform(at, lambda i: F.substr("w", i, F.lit(n)))))
+        grams = grams.groupBy("w").agg(F.sum("all").alias("all"), *[F.sum(f"n{i}").cast("int").alias(f"n{i}") for i in range(len(langs))])
+        top[n] = grams.orderBy(F.desc("all"), "w").limit(max_ngrams).drop("all").toArrow().to_pandas()
     counts.unpersist()
 
-    langs = sorted({p["lang"] for r in top[0] for p in r["by"]})
-    place = {x: i for i, x in enumerate(langs)}
-    tables, blocks, used = {}, [], 0
+    tables, blocks, used = {0: {}}, [np.zeros((0, len(langs)), np.float32)], 0
     for n, found in top.items():
-        freq = np.full((len(found), len(langs)), 0.5)
-        for i, r in enumerate(found):
-            for p in r["by"]:
-                freq[i, place[p["lang"]]] += p["n"]
-        tables[n] = {r["w"]: used + i for i, r in enumerate(found)}
-        blocks.append(np.log(freq / np.maximum(freq.sum(axis=0), 1.0)))
+        freq = found.drop(columns="w").to_numpy(np.float64).reshape(len(found), len(langs)) + 0.5
+        tables[n] = dict(zip(found["w"], range(used, used + len(found)), strict=True))
+        blocks.append(np.log(freq / np.maximum(freq.sum(axis=0), 1.0)).astype(np.float32))
         used += len(found)
-    all_rows = np.concatenate(blocks).astype(np.float32) if langs else np.zeros((0, 0), np.float32)
-    return LanguageModel(langs, tables.pop(0), tables, all_rows, np.zeros(len(langs), np.float32))
+    return LanguageModel(langs, tables.pop(0), tables, np.concatenate(blocks), np.zeros(len(langs), np.float32))
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:

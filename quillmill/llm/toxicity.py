@@ -34,7 +34,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter("_id is not null and _y is not null")
     marks = small(cut(marks.groupBy("_id").agg(F.max("_y").alias("_y"))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(marks, F.col("id") == F.col("_id"))
-    rows = bounded_sample(rows.select("id", "text", "_y"), "id", "text", "_y", sample_chars).toPandas().sort_values(["id", "text"])
+    rows = bounded_sample(rows.select("id", "text", "_y"), "id", "text", "_y", sample_chars).toArrow().to_pandas().sort_values(["id", "text"])
     features = linear.Features(LENGTHS, BITS)
     return linear.fit(features, rows["text"].tolist(), (rows["_y"] > 0).to_numpy(np.float64), naive_bayes=True)
 
