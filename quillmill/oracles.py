@@ -118,7 +118,7 @@ def stream(by: str, ids: str) -> str:
 
 def windows(by: str, width: int, stride: int) -> str:
     part = f"{by}, " if by else ""
-    first = f"greatest(0, (pos - {width}) // {stride} + 1)"
+    first = f"(CASE WHEN pos < {width} THEN 0 ELSE (pos - {width}) // {stride} + 1 END)"
     return f"wi AS (SELECT {part}k, list(t ORDER BY pos) AS v FROM (SELECT {part}t, pos, unnest(range({first}, pos // {stride} + 1)) AS k FROM al) WHERE pos < k * {stride} + {width} GROUP BY {part}k HAVING count(*) = {width})"
 
 
