@@ -10,6 +10,12 @@ Equal paragraphs are one node; nodes that share a band are linked with one hub o
 verified by exact Jaccard similarity of their shingles; classes are connected components. In
 each class the paragraph of the smallest document id stays, and those of other documents go.
 
+Anchors are up to WINDOW words apart, so a paragraph that goes is widened to the equal run around
+it, word by word against the kept one, by up to WINDOW words on either side: the next paragraph
+of an equal run begins within that, and widens on from there. So an equal run of 50 words goes
+whole, from its first word to its last. (Where part of the run also stands in a document of a
+smaller id, that part is compared with it, and the words beyond with the next kept document.)
+
 Null ids, null texts and texts of fewer words than a paragraph take no part. Repeats within
 one document, and so rows that repeat an id, are left. Empty tables give empty tables.
 """
@@ -116,6 +122,34 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return both.filter(common >= (F.size("x") + F.size("y") - common) * F.lit(similarity) - 1e-9).select("a", "b")
 
 
+def flanks(at: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, pos, before, after: hashes of up to WINDOW words on either side of each paragraph, the nearest first."""
+    need = at.groupBy(F.col("id").alias("_need")).agg(F.collect_set("pos").alias("_at"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(need, F.col("_id") == F.col("_need"))
+    texts = texts.select("_id", F.transform(words(F.col("_t")), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int")).alias("_w"), "_at")
+    near = lambda p: F.struct(
+        p.alias("pos"),
+        F.reverse(F.slice("_w", F.greatest(p - WINDOW, F.lit(0)) + 1, F.least(p, F.lit(WINDOW)))).alias("before"),
+        F.slice("_w", p + PARAGRAPH + 1, F.lit(WINDOW)).alias("after"),
+    )
+    texts = texts.select("_id", F.explode(F.transform("_at", near)).alias("_f")).select(F.col("_id").alias("id"), "_f.*")
+    return texts.groupBy("id", "pos").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+
+
+def widened(gone: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """gone with lo and hi (one past): the equal run around each paragraph, compared with the kept one's."""
+    places = gone.select("id", "pos").union(gone.select("kept_id", "kept_pos")).distinct()
+    near = cut(flanks(places, docs, id_col, text_col))
+    kept = near.select(F.col("id").alias("kept_id"), F.col("pos").alias("kept_pos"), F.col("before").alias("_b"), F.col("after").alias("_a"))
+    both = gone.join(near, ["id", "pos"]).join(kept, ["kept_id", "kept_pos"])
+
+    def equal(x: str, y: str) -> Column:
+        differ = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), F.lit(True))
+        return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
+
+    return both.select("id", "pos", "class_id", "kept_id", (F.col("pos") - equal("before", "_b")).alias("lo"), (F.col("pos") + PARAGRAPH + equal("after", "_a")).alias("hi"))
+
+
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row for each span to remove: id, first_word, last_word (one past), n_paragraphs, class_id, kept_id.
 
@@ -131,17 +165,19 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     labels = components(edges, nodes.select(F.col("h").alias("key"), F.col("first.id").alias("id")))
     linked = labels.select(F.col("node").alias("h"), F.col("label.key").alias("class_id")).join(nodes.select("h", "first", "last_id"), "h")
     kept = linked.groupBy("class_id").agg(F.min("first").alias("_kept"), F.max("last_id").alias("_last"))
-    linked = linked.select("h", "class_id").join(kept, "class_id").filter(F.col("_kept.id") != F.col("_last"))
-    linked = linked.select("h", "class_id", F.col("_kept.id").alias("kept_id"))
+    linked = linked.select("h", "class_id", "first").join(kept, "class_id").filter(F.col("_kept.id") != F.col("_last"))
+    kept_pos = F.when(F.col("first.id") == F.col("_kept.id"), F.col("first.pos")).otherwise(F.col("_kept.pos"))
+    linked = linked.select("h", "class_id", F.col("_kept.id").alias("kept_id"), kept_pos.alias("kept_pos"))
     alone = nodes.filter(F.col("first.id") != F.col("last_id")).join(labels, F.col("h") == F.col("node"), "left_anti")
-    repeated = cut(linked.unionByName(alone.select("h", F.col("h").alias("class_id"), F.col("first.id").alias("kept_id"))))
-    gone = each.select("id", "pos", "h").join(repeated, "h").filter(F.col("id") != F.col("kept_id"))
-    by = Window.partitionBy("id").orderBy("pos")
-    reach = F.max("pos").over(by.rowsBetween(Window.unboundedPreceding, -1)) + PARAGRAPH
-    gone = gone.withColumn("_new", F.when(F.col("pos") <= reach, 0).otherwise(1))
+    repeated = cut(linked.unionByName(alone.select("h", F.col("h").alias("class_id"), F.col("first.id").alias("kept_id"), F.col("first.pos").alias("kept_pos"))))
+    gone = each.select("id", "pos", "h").join(repeated, "h").filter(F.col("id") != F.col("kept_id")).drop("h")
+    gone = widened(cut(gone.distinct()), docs, id_col, text_col)
+    by = Window.partitionBy("id").orderBy("lo", "pos")
+    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    gone = gone.withColumn("_new", F.when(F.col("lo") <= reach, 0).otherwise(1))
     gone = gone.withColumn("_span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     spans = gone.groupBy("id", "_span").agg(
-        F.min("pos").cast("long").alias("first_word"), (F.max("pos") + PARAGRAPH).cast("long").alias("last_word"), F.count(F.lit(1)).alias("n_paragraphs"), F.min(F.struct("pos", "class_id", "kept_id")).alias("_f")
+        F.min("lo").cast("long").alias("first_word"), F.max("hi").cast("long").alias("last_word"), F.count(F.lit(1)).alias("n_paragraphs"), F.min(F.struct("pos", "class_id", "kept_id")).alias("_f")
     )
     out = cut(spans.select(F.col("id").alias(id_col), "first_word", "last_word", "n_paragraphs", F.col("_f.class_id").alias("class_id"), F.col("_f.kept_id").alias("kept_id")))
     for path in (paragraph_table, node_table):

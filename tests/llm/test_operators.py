@@ -193,6 +193,23 @@ def test_every_run_of_fifty_words_shares_a_paragraph():
         assert set(substrings.paragraphs(a)[1]) & set(substrings.paragraphs(b)[1])
 
 
+@pytest.mark.parametrize("n", [50, 60, 120])
+def test_an_equal_run_goes_whole(spark, n):
+    rng = random.Random(n)
+    texts = []
+    for _ in range(6):
+        run = sentence(rng, n)
+        texts += [" ".join([sentence(rng, rng.randint(0, 80)), run, sentence(rng, rng.randint(1, 80))]) for _ in range(2)]
+    out = [(r["doc_id"], r["kept_id"], r["first_word"], r["last_word"]) for r in substrings.repeated_passages(docs(spark, texts)).collect()]
+    wanted = []
+    for i in range(0, 12, 2):
+        a, b = texts[i].split(), texts[i + 1].split()
+        shared = {tuple(a[y : y + n]) for y in range(len(a) - n + 1)}
+        at = next(x for x in range(len(b)) if tuple(b[x : x + n]) in shared)
+        wanted.append((i + 1, i, at, at + n))
+    assert sorted(out) == wanted
+
+
 # Toxicity and quality
 
 
