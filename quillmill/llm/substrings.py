@@ -6,8 +6,10 @@ in each window of WINDOW consecutive shingles (runs of five words) the smallest
 equal run of WINDOW + PARAGRAPH + 4 = 50 words therefore has an equal paragraph wherever it
 stands. Each paragraph has BANDS min-hashes of one row over its shingles (a similarity of 0.8
 is missed with probability 0.2 ** BANDS by a paragraph, less by a passage, which has several).
-Equal paragraphs are one node; nodes that share a band are linked with one hub of it and
-verified by exact Jaccard similarity of their shingles; classes are connected components. In
+Equal paragraphs are one node; two nodes alone in a band are a pair, verified by exact Jaccard
+similarity of their shingles. Bands of more nodes have no cap: their nodes are linked by what
+remains of their sets when few shingles are left out, which finds each similar pair among them
+in time linear in the nodes. Classes are connected components. In
 each class the paragraph of the smallest document id stays, and those of other documents go.
 
 Anchors are up to WINDOW words apart, so a paragraph that goes is widened to the equal run around
@@ -23,6 +25,7 @@ one document, and so rows that repeat an id, are left. Empty tables give empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -93,35 +96,93 @@ def all_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.mapInArrow(cut_up, base.select("id", F.lit(0).alias("pos"), long.alias("h"), *[long.alias(f"m{b}") for b in range(BANDS)]).schema)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes that share a band with a hub of it, its smallest node.
-
-    Most bands have one node, most of the rest two: these are a pair at once. Only the hubs of
-    bands with more meet the nodes again.
-    """
+def shared_bands(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of nodes that are alone in a band; h of the nodes of bands with more."""
     rows = nodes.select("h", F.posexplode(F.array(*[F.col(f"m{b}") for b in range(BANDS)])).alias("_j", "_v"))
-    hubs = rows.groupBy("_j", "_v").agg(F.min("h").alias("_hub"), F.max("h").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    hubs = cut(hubs.filter(F.col("_hub") != F.col("_last")))
-    more = rows.join(small(hubs.filter("_n > 2").select("_j", "_v", "_hub")), ["_j", "_v"]).filter(F.col("h") != F.col("_hub"))
-    pairs = hubs.filter("_n = 2").select(F.col("_hub").alias("a"), F.col("_last").alias("b"))
-    return pairs.unionByName(more.select(F.col("_hub").alias("a"), F.col("h").alias("b"))).distinct()
+    bands = rows.groupBy("_j", "_v").agg(F.min("h").alias("_first"), F.max("h").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    bands = cut(bands.filter(F.col("_first") != F.col("_last")))
+    pairs = bands.filter("_n = 2").select(F.col("_first").alias("a"), F.col("_last").alias("b")).distinct()
+    crowd = rows.join(small(bands.filter("_n > 2").select("_j", "_v")), ["_j", "_v"]).select("h").distinct()
+    return cut(pairs), cut(crowd)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """Pairs whose sets of shingles have at least the Jaccard similarity."""
-    need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(nodes.select("h", "first"), "h")
+def shingle_sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h, s: the distinct shingles of each node of need."""
+    need = need.join(nodes.select("h", "first"), "h")
     need = need.groupBy(F.col("first.id").alias("_need")).agg(F.collect_list(F.struct("first.pos", "h")).alias("_at"))  # a document's own
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(need, F.col("_id") == F.col("_need"))
     texts = texts.select(words(F.col("_t")).alias("_w"), "_at").select("_w", F.explode("_at").alias("_p"))
     grams: Column = F.transform(
         F.sequence(F.col("_p.pos") + 1, F.col("_p.pos") + PARAGRAPH - K + 1), lambda i: F.pmod(F.xxhash64(F.array_join(F.slice("_w", i, K), " ")), F.lit(1 << 31)).cast("int")
     )
-    sets = cut(texts.select("_p.h", F.array_distinct(grams).alias("s")).groupBy("h").agg(F.first("s").alias("s")))
+    return texts.select("_p.h", F.array_distinct(grams).alias("s")).groupBy("h").agg(F.first("s").alias("s"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose sets of shingles have at least the Jaccard similarity."""
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= (F.size("x") + F.size("y") - common) * F.lit(similarity) - 1e-9).select("a", "b")
 
 
+def left_out(sets: DataFrame, similarity: float, even: bool) -> DataFrame:
+    """h, sig, left, size: the sets that remain when `left` shingles of a node are left out.
+
+    Sets x and y are similar if and only if they share such a rest of some size whose two numbers
+    left out are together at most size * (1 / similarity - 1). even: rests that two nodes with as
+    many left out can share; else those that only a node with fewer left out can.
+    """
+    most = 1 / similarity - 1
+
+    def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy()
+            flat = batch.column(1).values.to_numpy().astype(np.uint64)
+            h, sizes = batch.column(0).to_numpy(), np.diff(ends)
+            for p in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == p)
+                x = _mixed((flat[ends[at][:, None] + np.arange(p)] + np.uint64(1)) * STEP)
+                whole = np.bitwise_xor.reduce(x, axis=1)
+                for r in range(p):
+                    if r > (p - r) * most + 1e-9:
+                        break
+                    if (2 * r <= (p - r) * most + 1e-9) != even:
+                        continue
+                    for out in combinations(range(p), r):
+                        sig = whole ^ np.bitwise_xor.reduce(x[:, out], axis=1) if r else whole
+                        sig = _mixed(sig + np.uint64(p - r) * STEP).view(np.int64)
+                        columns = [h[at], sig, np.full(len(at), r, np.int32), np.full(len(at), p - r, np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "sig", "left", "size"])
+
+    return sets.select("h", "s").mapInArrow(rests, "h long, sig long, left int, size int")
+
+
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among all the sets, that give the same classes as all pairs of the Jaccard similarity.
+
+    Nodes that share a rest are linked with the one of them that leaves out fewest: whoever is
+    similar to another by this rest is so to it, so nothing is lost, however many share one.
+    """
+    most = 1 / similarity - 1
+    rows = left_out(sets, similarity, True)
+    short = sets.filter(F.size("s") < PARAGRAPH - K + 1)
+    if short.limit(1).count():  # repeat a shingle; only they can have fewer left out than their partner
+        fewer = small(cut(left_out(short, similarity, True).select("sig").distinct()))
+        rows = rows.unionByName(left_out(sets, similarity, False).join(fewer, "sig", "left_semi").select("h", "sig", "left", "size"))
+    hubs = rows.groupBy("sig").agg(F.min(F.struct("left", "h")).alias("_hub"), F.min("h").alias("_first"), F.max("h").alias("_last"))
+    hubs = cut(hubs.filter(F.col("_first") != F.col("_last")).select("sig", "_hub"))
+    links = rows.join(small(hubs), "sig").filter(F.col("h") != F.col("_hub.h"))
+    links = links.filter(F.col("left") + F.col("_hub.left") <= F.col("size") * F.lit(most) + 1e-9)
+    return links.select(F.least("h", "_hub.h").alias("a"), F.greatest("h", "_hub.h").alias("b")).distinct()
+
+
+def linked_nodes(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    pairs, crowd = shared_bands(nodes)
+    need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(crowd).distinct()
+    sets = cut(shingle_sets(need, nodes, docs, id_col, text_col))
+    return verified(pairs, sets, similarity).unionByName(similar_sets(sets.join(crowd, "h", "left_semi"), similarity))
+
+
 def flanks(at: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, pos, before, after: hashes of up to WINDOW words on either side of each paragraph, the nearest first."""
     need = at.groupBy(F.col("id").alias("_need")).agg(F.collect_set("pos").alias("_at"))
@@ -161,7 +222,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last_id"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)]
     )
     nodes, node_table = stored(nodes)
-    edges = cut(verified(cut(candidates(nodes)), nodes, docs, id_col, text_col, similarity))
+    edges = cut(linked_nodes(nodes, docs, id_col, text_col, similarity))
     labels = components(edges, nodes.select(F.col("h").alias("key"), F.col("first.id").alias("id")))
     linked = labels.select(F.col("node").alias("h"), F.col("label.key").alias("class_id")).join(nodes.select("h", "first", "last_id"), "h")
     kept = linked.groupBy("class_id").agg(F.min("first").alias("_kept"), F.max("last_id").alias("_last"))

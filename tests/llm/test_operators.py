@@ -210,6 +210,48 @@ def test_an_equal_run_goes_whole(spark, n):
     assert sorted(out) == wanted
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.7])
+def test_similar_sets_have_the_classes_of_all_pairs(spark, similarity):
+    rng = random.Random(13)
+    sets = []
+    for _ in range(60):
+        base = rng.sample(range(40), 12)
+        sets += [base, base[:11] + [99], base[:10], base[:10] + [97, 98], base[:8], [*base[:9], 96], base[:4], base[:5]]
+    sets = [sorted(set(s)) for s in sets]
+    rows = spark.createDataFrame(list(enumerate(sets)), "h long, s array<int>").repartition(3)
+    edges = [(r["a"], r["b"]) for r in substrings.similar_sets(rows, similarity).collect()]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= len(set(sets[i]) | set(sets[j])) * similarity - 1e-9]
+    assert set(edges) <= set(pairs)
+
+    def classes(links):
+        label = list(range(len(sets)))
+        for i, j in links:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+        return label
+
+    assert classes(edges) == classes(pairs)
+
+
+def test_similar_paragraphs_of_a_crowded_band_are_linked(spark):
+    rng = random.Random(14)
+    vocabulary = [sentence(rng, 1, "abcdefghijkl") + str(i) for i in range(200)]
+    hashes = np.array([r[0] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select(F.xxhash64("w")).collect()])
+    runs = np.random.default_rng(15).integers(0, 200, (400_000, 5))
+    grams = hashes[runs].view(np.uint64)
+    value = np.zeros(len(runs), np.uint64)
+    for i in range(5):
+        value = value * near_dedup.STEP + grams[:, i]
+    value = near_dedup._mixed(value)
+    # The shingle that is the smallest of nearly all: an anchor, and the minimum of each band.
+    least = np.max([value, *[near_dedup._mixed(value ^ np.uint64(b * 2 + 1)) for b in range(substrings.BANDS)]], axis=0).argmin()
+    phrase = " ".join(vocabulary[i] for i in runs[least])
+    tail = sentence(rng, 10)
+    texts = [f"{sentence(rng, 40)} {phrase} {t} {sentence(rng, 40)}" for t in [tail + " last", *[sentence(rng, 11) for _ in range(30)], tail + " other"]]
+    out = substrings.repeated_passages(docs(spark, texts)).collect()
+    assert [(r["doc_id"], r["kept_id"], r["first_word"], r["last_word"]) for r in out] == [(31, 0, 40, 56)]
+
+
 # Toxicity and quality
 
 
