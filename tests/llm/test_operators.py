@@ -432,6 +432,20 @@ def test_classes_equal_brute_force(spark):
     assert near_dedup.near_duplicate_classes(rows.limit(0)).count() == 0
 
 
+def test_scattered_edits_are_recalled(spark):
+    rng = random.Random(16)
+    texts = []
+    for i in range(120):
+        base = sentence(rng, 200).split()
+        w = list(base)
+        for at in rng.sample(range(200), 20 + i // 6):  # 10 to 20 %
+            w[at] = sentence(rng, 1, "vwxyz") + "q"
+        texts += [" ".join(base), " ".join(w)]
+    out = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(docs(spark, texts)).collect()}
+    assert all(out[i] == i for i in range(0, 240, 2)) and all(out[i] in (i, i - 1) for i in range(1, 240, 2))
+    assert sum(out[i] == i - 1 for i in range(1, 240, 2)) >= 0.95 * 120
+
+
 def test_components_of_a_long_chain(spark):
     key = lambda i: hashlib.md5(str(i).encode()).digest()
     edges = spark.createDataFrame([(key(i), key(i + 1)) for i in range(40)] + [(key(100), key(101))], "a binary, b binary")
