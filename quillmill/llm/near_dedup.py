@@ -10,10 +10,10 @@ substituted at random up to an edit similarity of 0.8 leave J = 0.34, so that 80
 about 96 % of such pairs, and nearly all of those at 0.85.
 
 Exact copies (equal words) are one node from the start. In a bucket of equal sketches each node
-is linked with one hub (the first key in every other sketch, the last in the rest), not all
-with all, so the number of candidates is linear in the bucket; nodes that a bucket's hub does
-not verify meet again under other hubs in the other sketches. Classes are the connected
-components of verified links.
+is first tried with one hub (the first key in every other sketch, the last in the rest), which
+joins large classes in time linear in the bucket. Then every two nodes of a bucket that are not
+in one class yet are tried, without a cap: a bucket of many unlike texts, such as share a long
+passage, takes time quadratic in it. Classes are the connected components of verified links.
 
 A null text is a class of its own. Texts without any word are compared by their characters
 only. A text of fewer than three words is one k-mer. Repeated rows are exact copies. A class id
@@ -35,6 +35,7 @@ K = 3
 SKETCHES = 80
 PICKS = 3
 SIMILARITY = 0.8
+BLOCK = 200
 
 GAP = r"[^\p{L}\p{N}]+"
 
@@ -165,17 +166,40 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int, picks:
     return base.mapInArrow(sketch, base.schema)
 
 
-def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes: key, n, marks. Distinct (key, hub) of nodes that share a sketch and whose lengths allow the similarity."""
+def shared_sketches(nodes: DataFrame) -> DataFrame:
+    """nodes: key, n, marks. _j, _v, key, n, _hub, _size: a row for each node of each bucket of several."""
     rows = nodes.select("key", "n", F.posexplode("marks").alias("_j", "_v"))
     me = F.struct("key", "n")
-    hubs = rows.groupBy("_j", "_v").agg(F.min(me).alias("_first"), F.max(me).alias("_last"))
-    hubs = hubs.filter(F.col("_first.key") != F.col("_last.key"))
-    hubs = hubs.select("_j", "_v", F.when(F.col("_j") % 2 == 0, F.col("_first")).otherwise(F.col("_last")).alias("_hub"))
-    pairs = rows.join(hubs, ["_j", "_v"]).filter(F.col("key") != F.col("_hub.key"))
-    near = F.least("n", "_hub.n") >= F.greatest("n", "_hub.n") * F.lit(similarity) - 1e-9
-    pairs = pairs.filter(near).select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b"))
-    return pairs.distinct()
+    buckets = rows.groupBy("_j", "_v").agg(F.min(me).alias("_first"), F.max(me).alias("_last"), F.count(F.lit(1)).alias("_size"))
+    buckets = buckets.filter(F.col("_first.key") != F.col("_last.key"))
+    buckets = buckets.select("_j", "_v", F.when(F.col("_j") % 2 == 0, F.col("_first")).otherwise(F.col("_last")).alias("_hub"), "_size")
+    return rows.join(buckets, ["_j", "_v"])
+
+
+def _near(x: str, y: str, similarity: float) -> Column:
+    return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
+
+
+def hub_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of nodes and the hubs of their buckets, whose lengths allow the similarity."""
+    pairs = shared.filter(F.col("key") != F.col("_hub.key")).filter(_near("n", "_hub.n", similarity))
+    return pairs.select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b")).distinct()
+
+
+def other_pairs(shared: DataFrame, labels: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of nodes of a bucket that are not in one class yet and not tried, whose lengths allow the similarity.
+
+    A large bucket meets itself in blocks of BLOCK nodes, so that many tasks can share it.
+    """
+    classes = labels.select(F.col("node").alias("key"), F.col("label.key").alias("_class"))
+    rows = shared.select("_j", "_v", "key", "n", "_size").join(classes, "key", "left").withColumn("_class", F.coalesce("_class", "key"))
+    several = rows.groupBy("_j", "_v").agg(F.min("_class").alias("_x"), F.max("_class").alias("_y")).filter(F.col("_x") != F.col("_y"))
+    rows = rows.join(several.select("_j", "_v"), ["_j", "_v"])
+    blocks = F.ceil(F.col("_size") / BLOCK)
+    left = rows.select("_j", "_v", F.pmod(F.xxhash64("key"), blocks).alias("_block"), F.col("key").alias("a"), F.col("n").alias("_na"), F.col("_class").alias("_ca"))
+    right = rows.select("_j", "_v", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_block"), F.col("key").alias("b"), F.col("n").alias("_nb"), F.col("_class").alias("_cb"))
+    pairs = left.join(right, ["_j", "_v", "_block"]).filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")))
+    return pairs.filter(_near("_na", "_nb", similarity)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
@@ -233,8 +257,13 @@ def near_duplicate_classes(
     """A row for each document: id, class_id, exact_id (smallest id with equal words), n_words."""
     marked = cut(sketched(docs, id_col, text_col, sketches, picks, k))
     nodes = cut(marked.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("marks").alias("marks")))
-    pairs = cut(candidate_pairs(nodes, similarity))
-    labels = components(verified_pairs(pairs, nodes, docs, id_col, text_col, similarity), nodes)
+    shared = cut(shared_sketches(nodes))
+    tried = cut(hub_pairs(shared, similarity))
+    edges = cut(verified_pairs(tried, nodes, docs, id_col, text_col, similarity))
+    labels = components(edges, nodes)
+    more = cut(other_pairs(shared, labels, tried, similarity))
+    if more.limit(1).count():
+        labels = components(edges.union(verified_pairs(more, nodes, docs, id_col, text_col, similarity)), nodes)
     classes = nodes.select("key", F.col("id").alias("_exact")).join(labels.withColumnRenamed("node", "key"), "key", "left")
     classes = classes.select("key", "_exact", F.when(F.col("label").isNull(), F.col("_exact")).otherwise(F.col("label.id")).alias("_class"))
     out = marked.select("id", "key", "n").join(classes, "key", "left")

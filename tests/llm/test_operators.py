@@ -446,6 +446,19 @@ def test_scattered_edits_are_recalled(spark):
     assert sum(out[i] == i - 1 for i in range(1, 240, 2)) >= 0.95 * 120
 
 
+def test_a_pair_in_a_bucket_of_many_unlike_texts_is_found(spark):
+    rng = random.Random(17)
+    passage = sentence(rng, 140)
+    texts = [passage + " " + sentence(rng, 60) for _ in range(300)]
+    for i in (120, 130, 140, 150):
+        w = texts[i].split()
+        for at in range(140, 200, 2):  # half of the rest
+            w[at] = sentence(rng, 1, "vwxyz") + "q"
+        texts[i + 1] = " ".join(w)
+    out = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(docs(spark, texts)).collect()}
+    assert out == {i: i - 1 if i in (121, 131, 141, 151) else i for i in range(300)}
+
+
 def test_components_of_a_long_chain(spark):
     key = lambda i: hashlib.md5(str(i).encode()).digest()
     edges = spark.createDataFrame([(key(i), key(i + 1)) for i in range(40)] + [(key(100), key(101))], "a binary, b binary")
