@@ -35,6 +35,7 @@ ROUNDS = 50
 #: would explain a lone bad vote by an inaccurate labeller.
 PRECISE = 0.999
 KEEP = 0.5
+RUN = 5
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -48,9 +49,13 @@ def _kept(text: Column, pattern: str) -> Column:
 
 def measures(text: Column) -> dict[str, Column]:
     words, lines = F.col("_words"), F.col("_lines")
+    n, distinct = F.size(words), F.size(F.array_distinct(words))
+    runs = F.transform(F.sequence(F.lit(1), n - RUN + 1), lambda i: F.xxhash64(F.slice(words, i, RUN)))
     return {
-        "n": F.size(words),
-        "distinct": F.size(F.array_distinct(words)),
+        "n": n,
+        "distinct": distinct,
+        # Only where few words differ, which are few texts: share of runs of RUN words that occurred before.
+        "repeated_runs": F.when((distinct < n * 0.2) & (n >= RUN), 1 - F.size(F.array_distinct(runs)) / (n - RUN + 1)).otherwise(F.lit(0.0)),
         "lines": F.size(lines),
         "distinct_lines": F.size(F.array_distinct(lines)),
         "chars": F.length(text),
@@ -68,11 +73,13 @@ def labellers() -> dict[str, tuple[Column, Column]]:
     symbols, capitals = _share(m["symbols"], m["chars"]), _share(m["capitals"], m["letters"])
     repeats, line_repeats = _share(n - m["distinct"], n), _share(m["lines"] - m["distinct_lines"], m["lines"])
     stops, length = _share(m["stops"], n), _share(m["letters"], n)
+    # In prose the distinct words grow with about the root of the length, so neither bound depends on it.
+    repetitive = (m["distinct"] < 3 * F.sqrt(n)) | (m["repeated_runs"] > 0.5)
     return {
         "length": (n < 3, n >= 40),
         "symbols": (symbols > 0.04, symbols < 0.01),
         "capitals": (capitals > 0.4, capitals < 0.15),
-        "repeats": ((repeats > 0.8) & (n < 4000), repeats < 0.6),
+        "repeats": ((repeats > 0.8) & repetitive, repeats < 0.6),
         "lines": (line_repeats > 0.6, (line_repeats < 0.1) & (m["lines"] > 1)),
         "sentences": ((stops > 0.6) | ((n >= 40) & (stops < 0.01)), (stops > 0.02) & (stops < 0.4)),
         "word_length": ((length < 2) | (length > 12), (length > 3) & (length < 9)),

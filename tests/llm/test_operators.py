@@ -305,6 +305,21 @@ def test_quality_keeps_prose_and_not_junk(spark):
     assert quality.score_quality(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [200, 3999, 4000, 40_000])
+def test_repeats_are_bad_at_any_length(spark, n):
+    rng = random.Random(18)
+    few = [sentence(rng, 1) + str(i) for i in range(700)]
+    texts = [
+        " ".join((sentence(rng, 9) + ". ").split() * (n // 9 + 1)),  # one sentence
+        " ".join(few[i % min(n // 7, 700)] for i in range(n)),  # a longer passage
+        " ".join(rng.choice(few[:8]) for _ in range(n)),  # eight words
+        " ".join(rng.choice(few) for _ in range(n)),  # 700 words in any order
+    ]
+    out = quality.with_votes(docs(spark, texts), "text").orderBy("doc_id").collect()
+    votes = [r["votes"][quality.LABELLERS.index("repeats")] for r in out]
+    assert votes[:3] == ["b"] * 3 and votes[3] != "b"
+
+
 # Tokens
 
 
