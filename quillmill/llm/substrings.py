@@ -65,6 +65,8 @@ def paragraphs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
         at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
     at = at[at + width <= len(grams)]
+    if not len(at):  # a text of few words; what follows its anchors is too short
+        at = np.array([int(grams[: len(grams) - width + 1].argmin())])
     inner = grams[at[:, None] + np.arange(width)]
     whole = np.zeros(len(at), np.uint64)
     for i in range(width):

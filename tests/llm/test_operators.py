@@ -193,6 +193,11 @@ def test_every_run_of_fifty_words_shares_a_paragraph():
         assert set(substrings.paragraphs(a)[1]) & set(substrings.paragraphs(b)[1])
 
 
+def test_every_text_of_a_paragraph_or_more_has_one():
+    rng = np.random.default_rng(19)
+    assert all(len(substrings.paragraphs(rng.integers(0, 1 << 60, n))[0]) for n in range(substrings.PARAGRAPH, 60) for _ in range(50))
+
+
 @pytest.mark.parametrize("n", [50, 60, 120])
 def test_an_equal_run_goes_whole(spark, n):
     rng = random.Random(n)
