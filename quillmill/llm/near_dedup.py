@@ -205,8 +205,10 @@ def other_pairs(shared: DataFrame, labels: DataFrame, tried: DataFrame, similari
 def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """The pairs whose words align within the band. nodes: key, id (a document with that key)."""
     need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(nodes.select("key", F.col("id").alias("_need")), "key")
-    need = small(cut(need))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(need, F.col("_id") == F.col("_need"))
+    need = small(cut(need.withColumn("_only", F.when(F.col("_need").isNull(), F.col("key")))))
+    t = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("_id"), t.alias("_t"), F.when(F.col(id_col).isNull(), text_key(t, words(t))).alias("_k"))  # without an id: by key
+    texts = texts.join(need, F.col("_id").eqNullSafe(F.col("_need")) & F.col("_k").eqNullSafe(F.col("_only")))
     texts = texts.select("key", "_t", words(F.col("_t")).alias("_w")).filter(text_key(F.col("_t"), F.col("_w")) == F.col("key"))
     texts = texts.select("key", F.transform("_w", lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int")).alias("w")).groupBy("key").agg(F.first("w").alias("w"))
     texts = cut(texts)

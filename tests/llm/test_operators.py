@@ -479,6 +479,15 @@ def test_a_pair_in_a_bucket_of_many_unlike_texts_is_found(spark):
     assert out == {i: i - 1 if i in (121, 131, 141, 151) else i for i in range(300)}
 
 
+def test_near_copies_without_an_id_are_found(spark):
+    rng = random.Random(20)
+    base = sentence(rng, 100)
+    rows = docs(spark, [sentence(rng, 80), base]).union(spark.createDataFrame([(None, base + " more", None, "s", 1), (None, sentence(rng, 90), None, "s", 1), (None, None, None, "s", 1)], DOCS))
+    out = near_dedup.near_duplicate_classes(rows).collect()
+    assert sorted((r["doc_id"] is None, r["n_words"], r["class_id"]) for r in out if r["n_words"] > 90) == [(False, 100, 1), (True, 101, 1)]
+    assert [r["class_id"] for r in out if r["doc_id"] is None and r["n_words"] <= 90] == [None, None]
+
+
 def test_components_of_a_long_chain(spark):
     key = lambda i: hashlib.md5(str(i).encode()).digest()
     edges = spark.createDataFrame([(key(i), key(i + 1)) for i in range(40)] + [(key(100), key(101))], "a binary, b binary")
