@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from types import TracebackType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only after counting that it has no more rows than this.
+#: A side is broadcast only after finding that it has no more rows, and no more bytes of values, than this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, from spark.checkpoint.dir.
-
-    Only where neither the session nor the context names one (tests, a single machine)
-    is a temporary folder made and set.
-    """
+    """The folder every executor sees, from spark.checkpoint.dir; only on a single machine may it be unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
@@ -32,30 +32,64 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
     Keep df narrow: rows are stored uncompressed. Survives the loss of executors, and later
-    passes do not repeat the work (or a non-deterministic partitioning) above it.
+    passes do not repeat the work (or a non-deterministic partitioning) above it. Spark removes
+    checkpoints that nothing refers to where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and its path for removed(); for wide or long intermediates."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path), path
+class Scratch:
+    """Parquet tables in the shared folder for one run of an operator, removed when it ends, well or not.
 
+    While it is open, Spark removes the shuffle files of each job at the job's end (all that is
+    used again is a table). The session's own setting is put back.
+    """
 
-def removed(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, else df as it is.
+    def __enter__(self) -> Scratch:
+        self._before = self.spark.conf.get(self.CLEAN, None)
+        self.spark.conf.set(self.CLEAN, "true")
+        return self
 
-    df should be cheap to read again (a result of cut()).
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    def __exit__(self, kind: type | None, fault: BaseException | None, trace: TracebackType | None) -> None:
+        if self._before is None:
+            self.spark.conf.unset(self.CLEAN)
+        else:
+            self.spark.conf.set(self.CLEAN, self._before)
+        self.drop(self.folder)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """df as a table, in the same columns; a new name each time."""
+        path = f"{self.folder}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, *names: str) -> None:
+        """Removes tables that are not read again, before the end."""
+        for name in names:
+            self.drop(f"{self.folder}/{name}")
+
+    def drop(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes (of its values as JSON). It should be cheap to read again."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= rows and total <= most
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it fits(), else df as it is. df should be a table or a result of cut()."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def crc_bucket(col: Column, n: int) -> Column:
@@ -66,7 +100,8 @@ def crc_bucket(col: Column, n: int) -> Column:
 def arrow_bounds(spark: SparkSession) -> None:
     """Hold Arrow batches to a few MB of text, so very long documents don't pile up in a worker.
 
-    Applies only where the session has the default of 10 000 rows a batch.
+    Sets spark.sql.execution.arrow.maxRecordsPerBatch to 512 in the session, and leaves it so, as
+    results are lazy; a session with a setting of its own keeps it.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":

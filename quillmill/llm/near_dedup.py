@@ -1,41 +1,50 @@
 """Near-duplicate documents by order MinHash.
 
-A document's k-mers are runs of three words, each labelled with its occurrence number. For each
-of `sketches` hash functions the `picks` labelled k-mers with the smallest hashes are taken and
-put back in text order; that ordered tuple is one sketch, so sketches agree when much text does
-and in the same order. Documents that share a sketch are candidates; a candidate is verified by
-banded alignment of the words: edit distance at most (1 - similarity) of the longer one's words.
+A document's k-mers are runs of five words, each labelled with its occurrence number. A sketch is
+the `picks` labelled k-mers with the smallest hashes, put back in text order, so sketches agree
+when much text does and in the same order. The hash functions of `circles` permutations are
+rotated: a permutation's k-mers lie on a circle by their hashes, and each of `points` places on it
+gives the sketch of the k-mers that follow it. Documents that share a sketch are candidates; a
+candidate is verified by banded alignment of the words: edit distance at most (1 - similarity) of
+the longer one's words. Candidates whose counts of words (in BINS classes) differ by more than
+that distance allows are not aligned.
+
 A sketch of texts whose k-mers have Jaccard similarity J agrees with about J ** picks. Words
-substituted at random up to an edit similarity of 0.8 leave J = 0.34, so that 80 sketches find
-about 96 % of such pairs, and nearly all of those at 0.85.
+substituted at random up to an edit similarity of 0.8 leave J = 0.2, so that 96 sketches find
+about 97 % of such pairs, and nearly all of those at 0.85.
 
 Exact copies (equal words) are one node from the start. In a bucket of equal sketches each node
-is first tried with one hub (the first key in every other sketch, the last in the rest), which
-joins large classes in time linear in the bucket. Then every two nodes of a bucket that are not
-in one class yet are tried, without a cap: a bucket of many unlike texts, such as share a long
-passage, takes time quadratic in it. Classes are the connected components of verified links.
+is first tried with one hub (the first or the last node), which joins large classes in time
+linear in the bucket. Then every two nodes of a bucket that are not in one class yet are looked
+at, without a cap, in blocks of BLOCK nodes; only those that their counts of words allow are
+aligned. A bucket of many unlike texts, such as share a long passage, so takes time quadratic in
+it, though rows only for what may be alike. Classes are the connected components of verified links.
 
 A null text is a class of its own. Texts without any word are compared by their characters
-only. A text of fewer than three words is one k-mer. Repeated rows are exact copies. A class id
+only. A text of fewer than five words is one k-mer. Repeated rows are exact copies. A class id
 is the smallest id in the class, null if all its ids are. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds, cut, small
+from .common import Scratch, arrow_bounds, cut, small
 
-K = 3
-SKETCHES = 80
-PICKS = 3
+K = 5
+CIRCLES = 4
+POINTS = 24
+PICKS = 2
 SIMILARITY = 0.8
-BLOCK = 200
+BINS = 128
+BLOCK = 1024
 
 GAP = r"[^\p{L}\p{N}]+"
 
@@ -45,8 +54,13 @@ def words(text: Column) -> Column:
 
 
 def text_key(text: Column, w: Column) -> Column:
-    """16 bytes that are equal for equal words (for texts without words: equal texts)."""
-    return F.unhex(F.md5(F.when(F.size(w) > 0, F.concat(F.lit("w "), F.array_join(w, " "))).otherwise(F.concat(F.lit("t "), text)).cast("binary")))
+    """32 hex digits that are equal for equal words (for texts without words: equal texts)."""
+    return F.md5(F.when(F.size(w) > 0, F.concat(F.lit("w "), F.array_join(w, " "))).otherwise(F.concat(F.lit("t "), text)).cast("binary"))
+
+
+def halves(key: Column) -> list[Column]:
+    """The key as two longs."""
+    return [F.conv(F.substring(key, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "k1"), (17, "k2"))]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,26 +91,35 @@ def kmers(ids: np.ndarray, k: int = 5) -> np.ndarray:
     return _mixed(out + count * STEP)
 
 
-def order_sketches(ids: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS, k: int = K) -> np.ndarray:
-    """One hash for each sketch: the `picks` smallest k-mers under its hash function, in text order."""
+def order_sketches(ids: np.ndarray, circles: int = CIRCLES, points: int = POINTS, picks: int = PICKS, k: int = K) -> np.ndarray:
+    """The distinct sketches of a text, as hashes: of each place on each circle the k-mers that follow it, in text order."""
     grams = kmers(ids, k)
-    seeds = _mixed(np.arange(1, sketches + 1, dtype=np.uint64) * STEP)
-    out = np.empty(sketches, np.uint64)
-    block = max(1, 1_000_000 // len(grams))
-    for at in range(0, sketches, block):
-        s = seeds[at : at + block, None]
-        h = grams[None, :] ^ s
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x94D049BB133111EB)
-        if len(grams) > picks:
-            chosen = np.sort(np.argpartition(h, picks - 1, axis=1)[:, :picks], axis=1)
-        else:
-            chosen = np.broadcast_to(np.arange(len(grams)), (len(s), len(grams)))
-        v = s[:, 0].copy()
+    places = np.arange(points, dtype=np.uint64) * np.uint64((1 << 64) // points)
+    out = []
+    for c in range(circles):
+        h = _mixed(grams ^ (np.uint64(c + 1) * STEP))
+        order = np.argsort(h)
+        at = np.searchsorted(h, places, sorter=order)
+        chosen = np.sort(order[(at[:, None] + np.arange(min(picks, len(grams)))) % len(grams)], axis=1)
+        v = np.zeros(points, np.uint64)
         for i in range(chosen.shape[1]):
             v = _mixed(v * STEP + grams[chosen[:, i]])
-        out[at : at + block] = v
-    return out.view(np.int64)
+        out.append(v)
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def word_classes(ids: np.ndarray) -> np.ndarray:
+    """How many words fall in each of BINS classes, 255 at most: edit distance is at least what one text has more."""
+    return np.minimum(np.bincount((ids.astype(np.int64).view(np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lengths and counts of words allow the similarity; all arrays are broadcast against each other."""
+    d = x.astype(np.int16) - y
+    least = np.maximum(np.maximum(d, 0).sum(axis=-1), np.maximum(-d, 0).sum(axis=-1))
+    longest = np.maximum(nx, ny)
+    most = (1 - similarity) * longest + 1e-9
+    return (least <= most) & (longest - np.minimum(nx, ny) <= most)
 
 
 def banded_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None:
@@ -148,71 +171,110 @@ def banded_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None
     return distance if distance <= most else None
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int, picks: int, k: int) -> DataFrame:
-    """id, key (null for a null text), n (words), marks (sketch hashes; none for a text without words)."""
+def sketched(docs: DataFrame, id_col: str, text_col: str, circles: int, points: int, picks: int, k: int) -> DataFrame:
+    """row (a number of its own), id, k1, k2 (null for a null text), n (words), counts (by class) and marks (sketches) of texts with words."""
     arrow_bounds(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), words(F.col(text_col)).alias("_w"))
-    base = base.select("id", text_key(F.col("_t"), F.col("_w")).alias("key"), F.greatest(F.size("_w"), F.lit(0)).alias("n"), F.transform("_w", lambda w: F.xxhash64(w)).alias("marks"))
+    base = base.select("id", text_key(F.col("_t"), F.col("_w")).alias("_key"), F.greatest(F.size("_w"), F.lit(0)).alias("n"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    base = base.select("id", *halves(F.col("_key")), "n", "_h")
+    names = ["id", "k1", "k2", "n", "counts", "marks"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(3)
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(batch.column(2).to_numpy(zero_copy_only=False))])
-            marks = [order_sketches(flat[a:b], sketches, picks, k) if b > a else np.empty(0, np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ids = batch.column(4)
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(batch.column(3).to_numpy(zero_copy_only=False))])
+            texts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            marks = [order_sketches(t, circles, points, picks, k) if len(t) else np.empty(0, np.int64) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
             values = np.concatenate(marks) if marks else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(values))], names=["id", "key", "n", "marks"])
+            counts = pa.array([word_classes(t).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], counts, pa.ListArray.from_arrays(offsets, pa.array(values))], names=names)
 
-    return base.mapInArrow(sketch, base.schema)
+    schema = base.select("id", "k1", "k2", "n", F.lit(b"").alias("counts"), F.col("_h").alias("marks")).schema
+    return base.mapInArrow(sketch, schema).select(F.monotonically_increasing_id().alias("row"), *names)
 
 
-def shared_sketches(nodes: DataFrame) -> DataFrame:
-    """nodes: key, n, marks. _j, _v, key, n, _hub, _size: a row for each node of each bucket of several."""
-    rows = nodes.select("key", "n", F.posexplode("marks").alias("_j", "_v"))
-    me = F.struct("key", "n")
-    buckets = rows.groupBy("_j", "_v").agg(F.min(me).alias("_first"), F.max(me).alias("_last"), F.count(F.lit(1)).alias("_size"))
-    buckets = buckets.filter(F.col("_first.key") != F.col("_last.key"))
-    buckets = buckets.select("_j", "_v", F.when(F.col("_j") % 2 == 0, F.col("_first")).otherwise(F.col("_last")).alias("_hub"), "_size")
-    return rows.join(buckets, ["_j", "_v"])
+def buckets_of(marked: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """marked: node, marks. Distinct pairs (a, b) of nodes and the hubs of their buckets; crowd: v, node, size of buckets of three and more."""
+    rows = marked.select("node", F.explode("marks").alias("v"))
+    buckets = rows.groupBy("v").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size"))
+    buckets = scratch.keep("buckets", buckets.filter("size > 1"))
+    crowd = scratch.keep("crowd", rows.join(small(buckets.filter("size > 2")), "v"))
+    hub = F.when(F.pmod("v", F.lit(2)) == 0, F.col("a")).otherwise(F.col("b"))
+    pairs = crowd.withColumn("_hub", hub).filter(F.col("node") != F.col("_hub")).select(F.least("node", "_hub").alias("a"), F.greatest("node", "_hub").alias("b"))
+    pairs = scratch.keep("hub_pairs", buckets.filter("size = 2").select("a", "b").union(pairs).distinct())
+    scratch.forget("buckets")
+    return pairs, crowd.select("v", "node", "size")
 
 
-def _near(x: str, y: str, similarity: float) -> Column:
-    return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
+def plausible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose lengths and counts of words allow the similarity. marked: node, n, counts."""
+    side = lambda x: marked.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
 
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            keep = may_be_near(x, y, batch.column(2).to_numpy(), batch.column(3).to_numpy(), similarity)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-def hub_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b) of nodes and the hubs of their buckets, whose lengths allow the similarity."""
-    pairs = shared.filter(F.col("key") != F.col("_hub.key")).filter(_near("n", "_hub.n", similarity))
-    return pairs.select(F.least("key", "_hub.key").alias("a"), F.greatest("key", "_hub.key").alias("b")).distinct()
+    return both.mapInArrow(hold, pairs.select("a", "b").schema)
 
 
-def other_pairs(shared: DataFrame, labels: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b) of nodes of a bucket that are not in one class yet and not tried, whose lengths allow the similarity.
+def other_pairs(crowd: DataFrame, labels: DataFrame, marked: DataFrame, tried: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Distinct plausible (a, b) of nodes of a bucket that are not in one class yet and not tried.
 
-    A large bucket meets itself in blocks of BLOCK nodes, so that many tasks can share it.
+    A bucket of more than BLOCK nodes is dealt out by pairs of blocks, so that many tasks share it.
     """
-    classes = labels.select(F.col("node").alias("key"), F.col("label.key").alias("_class"))
-    rows = shared.select("_j", "_v", "key", "n", "_size").join(classes, "key", "left").withColumn("_class", F.coalesce("_class", "key"))
-    several = rows.groupBy("_j", "_v").agg(F.min("_class").alias("_x"), F.max("_class").alias("_y")).filter(F.col("_x") != F.col("_y"))
-    rows = rows.join(several.select("_j", "_v"), ["_j", "_v"])
-    blocks = F.ceil(F.col("_size") / BLOCK)
-    left = rows.select("_j", "_v", F.pmod(F.xxhash64("key"), blocks).alias("_block"), F.col("key").alias("a"), F.col("n").alias("_na"), F.col("_class").alias("_ca"))
-    right = rows.select("_j", "_v", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_block"), F.col("key").alias("b"), F.col("n").alias("_nb"), F.col("_class").alias("_cb"))
-    pairs = left.join(right, ["_j", "_v", "_block"]).filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")))
-    return pairs.filter(_near("_na", "_nb", similarity)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-
-
-def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs whose words align within the band. nodes: key, id (a document with that key)."""
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(nodes.select("key", F.col("id").alias("_need")), "key")
-    need = small(cut(need.withColumn("_only", F.when(F.col("_need").isNull(), F.col("key")))))
+    rows = crowd.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = scratch.keep("classed", rows)
+    several = rows.groupBy("v").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter(F.col("_x") != F.col("_y")).select("v")
+    rows = rows.join(small(scratch.keep("several", several)), "v").join(marked.select("node", "n", "counts"), "node")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = scratch.keep("blocks", rows.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "n", "counts"))
+    parts = max(1, rows.count() // 20_000)
+
+    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["v", "i", "j"])
+        keys = frame[["v", "i", "j"]].to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(frame)]])
+        counts = np.frombuffer(b"".join(frame["counts"]), np.uint8).reshape(-1, BINS)
+        node, label, n = (frame[c].to_numpy() for c in ("node", "label", "n"))
+        out = [np.empty((0, 2), np.int64)]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            step = max(1, 4_000_000 // ((hi - lo) * BINS))
+            for at in range(lo, hi, step):
+                x = slice(at, min(hi, at + step))
+                y = slice(lo, hi)
+                near = (node[x, None] < node[None, y]) & (label[x, None] != label[None, y])
+                near &= may_be_near(counts[x, None], counts[None, y], n[x, None], n[None, y], similarity)
+                p, q = np.nonzero(near)
+                out.append(np.stack([node[x][p], node[y][q]], axis=1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    met = rows.groupBy(F.pmod(F.xxhash64("v", "i", "j"), F.lit(parts)).alias("_part")).applyInPandas(pairs, "a long, b long")
+    found = scratch.keep("more_pairs", met.distinct().join(tried, ["a", "b"], "left_anti"))
+    scratch.forget("classed", "several", "blocks")
+    return found
+
+
+def verified_pairs(name: str, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs whose words align within the band. nodes: node, k1, k2, id (a document with that key)."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").withColumnRenamed("id", "_need")
+    need = need.withColumn("_only", F.when(F.col("_need").isNull(), F.col("k1")))
+    need = small(scratch.keep(f"{name}_need", need))
     t = F.col(text_col)
-    texts = docs.select(F.col(id_col).alias("_id"), t.alias("_t"), F.when(F.col(id_col).isNull(), text_key(t, words(t))).alias("_k"))  # without an id: by key
+    key = F.when(F.col(id_col).isNull(), halves(text_key(t, words(t)))[0])  # without an id: by key
+    texts = docs.select(F.col(id_col).alias("_id"), t.alias("_t"), key.alias("_k"))
     texts = texts.join(need, F.col("_id").eqNullSafe(F.col("_need")) & F.col("_k").eqNullSafe(F.col("_only")))
-    texts = texts.select("key", "_t", words(F.col("_t")).alias("_w")).filter(text_key(F.col("_t"), F.col("_w")) == F.col("key"))
-    texts = texts.select("key", F.transform("_w", lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int")).alias("w")).groupBy("key").agg(F.first("w").alias("w"))
-    texts = cut(texts)
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("key").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
+    k1, k2 = halves(text_key(F.col("_t"), F.col("_w")))
+    texts = texts.select("node", "k1", "k2", "_t", words(F.col("_t")).alias("_w")).filter((k1 == F.col("k1")) & (k2 == F.col("k2")))
+    texts = texts.select("node", F.transform("_w", lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int")).alias("w")).dropDuplicates(["node"])
+    texts = scratch.keep(f"{name}_texts", texts)
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,27 +284,33 @@ def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col:
                 keep.append(banded_distance(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)) is not None)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(verify, both.select("a", "b").schema)
+    out = scratch.keep(name, both.mapInArrow(verify, both.select("a", "b").schema))
+    scratch.forget(f"{name}_need", f"{name}_texts")
+    return out
 
 
-def components(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """node, label: the smallest (id, key) in the node's component.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, label: the smallest node of the node's component.
 
-    edges: a, b; order: key, id. Each round takes the smallest label of the neighbours, then
-    the label of the label; the table is cut after each round, until none changes.
+    edges: a, b (longs). Each round takes the smallest label of the neighbours, then the label of
+    the label; the table is written after each round, until none changes.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
-    nodes = both.select(F.col("a").alias("node")).distinct()
-    labels = cut(nodes.join(order.select(F.col("key").alias("node"), F.col("id")), "node").select("node", F.struct(F.col("id").isNull().alias("none"), "id", F.col("node").alias("key")).alias("label")))
+    run = uuid.uuid4().hex
+    both = scratch.keep(f"{run}_edges", edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = scratch.keep(f"{run}_0", both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    turn = 0
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("_near"))
-        step = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("_new"))
+        turn += 1
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("_near"))
+        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("_new"))
         jump = labels.select(F.col("node").alias("_k"), F.col("label").alias("_far"))
-        step = step.join(jump, F.col("_new.key") == F.col("_k"), "left")
-        step = cut(step.select("node", "_old", F.least("_new", "_far").alias("label")))
-        changed = step.filter(F.col("label.key") != F.col("_old.key")).limit(1).count()
+        step = step.join(jump, F.col("_new") == F.col("_k"), "left")
+        step = scratch.keep(f"{run}_{turn}", step.select("node", "_old", F.least("_new", "_far").alias("label")))
+        scratch.forget(f"{run}_{turn - 1}")
+        changed = step.filter(F.col("label") != F.col("_old")).limit(1).count()
         labels = step.select("node", "label")
         if not changed:
+            scratch.forget(f"{run}_edges")
             return labels
 
 
@@ -252,25 +320,32 @@ def near_duplicate_classes(
     id_col: str = "doc_id",
     text_col: str = "text",
     similarity: float = SIMILARITY,
-    sketches: int = SKETCHES,
+    circles: int = CIRCLES,
+    points: int = POINTS,
     picks: int = PICKS,
     k: int = K,
 ) -> DataFrame:
     """A row for each document: id, class_id, exact_id (smallest id with equal words), n_words."""
-    marked = cut(sketched(docs, id_col, text_col, sketches, picks, k))
-    nodes = cut(marked.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("marks").alias("marks")))
-    shared = cut(shared_sketches(nodes))
-    tried = cut(hub_pairs(shared, similarity))
-    edges = cut(verified_pairs(tried, nodes, docs, id_col, text_col, similarity))
-    labels = components(edges, nodes)
-    more = cut(other_pairs(shared, labels, tried, similarity))
-    if more.limit(1).count():
-        labels = components(edges.union(verified_pairs(more, nodes, docs, id_col, text_col, similarity)), nodes)
-    classes = nodes.select("key", F.col("id").alias("_exact")).join(labels.withColumnRenamed("node", "key"), "key", "left")
-    classes = classes.select("key", "_exact", F.when(F.col("label").isNull(), F.col("_exact")).otherwise(F.col("label.id")).alias("_class"))
-    out = marked.select("id", "key", "n").join(classes, "key", "left")
-    own = lambda c: F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col(c))
-    return out.select(F.col("id").alias(id_col), own("_class").alias("class_id"), own("_exact").alias("exact_id"), F.col("n").cast("long").alias("n_words"))
+    with Scratch(docs.sparkSession) as scratch:
+        marked = scratch.keep("marked", sketched(docs, id_col, text_col, circles, points, picks, k))
+        nodes = scratch.keep("nodes", marked.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("id")))
+        one = scratch.keep("one", marked.select(F.col("row").alias("node"), "n", "counts", "marks").join(small(nodes.select("node")), "node", "left_semi"))
+        rows = scratch.keep("rows", marked.select("id", "k1", "k2", "n"))
+        scratch.forget("marked")
+        tried, crowd = buckets_of(one, scratch)
+        sized = one.select("node", "n", "counts")
+        close = scratch.keep("close", plausible(tried, sized, similarity))
+        edges = verified_pairs("edges", close, nodes, docs, id_col, text_col, similarity, scratch)
+        labels = components(edges, scratch)
+        more = other_pairs(crowd, labels, sized, tried, similarity, scratch)
+        if more.limit(1).count():
+            labels = components(edges.union(verified_pairs("more_edges", more, nodes, docs, id_col, text_col, similarity, scratch)), scratch)
+        classes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        smallest = classes.groupBy("label").agg(F.min("id").alias("_class"))
+        classes = scratch.keep("classes", classes.join(smallest, "label").select("k1", "k2", F.col("id").alias("_exact"), "_class"))
+        out = rows.join(small(classes), ["k1", "k2"], "left")
+        own = lambda c: F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col(c))
+        return cut(out.select(F.col("id").alias(id_col), own("_class").alias("class_id"), own("_exact").alias("exact_id"), F.col("n").cast("long").alias("n_words")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -280,10 +355,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
     ids = cut(classes.groupBy(id_col).agg(F.min("class_id").alias("_class"), F.count(F.lit(1)).alias("_n")))
-    drop = cut(ids.filter((F.col(id_col) != F.col("_class"))).select(id_col))
-    out = docs.join(small(drop), id_col, "left_anti")
-    repeated = cut(ids.filter(F.col(id_col).isNotNull() & (F.col("_n") > 1)).select(F.col(id_col).alias("_again")))
+    drop = ids.filter(F.col(id_col) != F.col("_class")).select(F.col(id_col).alias("_gone"))
+    out = docs.join(small(drop), docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+    repeated = ids.filter(F.col(id_col).isNotNull() & (F.col("_n") > 1)).select(F.col(id_col).alias("_again"))
     if repeated.limit(1).count():
-        once = out.join(small(repeated), F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
-        out = out.join(small(repeated), F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)
+        again = out[f"`{id_col}`"] == F.col("_again")
+        out = out.join(small(repeated), again, "left_anti").unionByName(out.join(small(repeated), again, "left_semi").dropDuplicates([id_col]))
     return out.select(*[out[f"`{c}`"] for c in docs.columns])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds, cut, removed, small, stored
+from .common import Scratch, arrow_bounds, cut, small
 from .near_dedup import STEP, _mixed, components, words
 
 K = 5
@@ -98,14 +98,15 @@ def all_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.mapInArrow(cut_up, base.select("id", F.lit(0).alias("pos"), long.alias("h"), *[long.alias(f"m{b}") for b in range(BANDS)]).schema)
 
 
-def shared_bands(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_bands(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of nodes that are alone in a band; h of the nodes of bands with more."""
-    rows = nodes.select("h", F.posexplode(F.array(*[F.col(f"m{b}") for b in range(BANDS)])).alias("_j", "_v"))
-    bands = rows.groupBy("_j", "_v").agg(F.min("h").alias("_first"), F.max("h").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    bands = cut(bands.filter(F.col("_first") != F.col("_last")))
-    pairs = bands.filter("_n = 2").select(F.col("_first").alias("a"), F.col("_last").alias("b")).distinct()
-    crowd = rows.join(small(bands.filter("_n > 2").select("_j", "_v")), ["_j", "_v"]).select("h").distinct()
-    return cut(pairs), cut(crowd)
+    rows = nodes.select("h", F.explode(F.array(*[F.xxhash64(F.col(f"m{b}"), F.lit(b)) for b in range(BANDS)])).alias("v"))
+    bands = rows.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n")).filter(F.col("a") != F.col("b"))
+    bands = scratch.keep("bands", bands)
+    pairs = scratch.keep("pairs", bands.filter("n = 2").select("a", "b").distinct())
+    crowd = scratch.keep("crowd", rows.join(small(bands.filter("n > 2").select("v")), "v").select("h").distinct())
+    scratch.forget("bands")
+    return pairs, crowd
 
 
 def shingle_sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,11 +114,14 @@ def shingle_sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
     need = need.join(nodes.select("h", "first"), "h")
     need = need.groupBy(F.col("first.id").alias("_need")).agg(F.collect_list(F.struct("first.pos", "h")).alias("_at"))  # a document's own
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(need, F.col("_id") == F.col("_need"))
-    texts = texts.select(words(F.col("_t")).alias("_w"), "_at").select("_w", F.explode("_at").alias("_p"))
-    grams: Column = F.transform(
-        F.sequence(F.col("_p.pos") + 1, F.col("_p.pos") + PARAGRAPH - K + 1), lambda i: F.pmod(F.xxhash64(F.array_join(F.slice("_w", i, K), " ")), F.lit(1 << 31)).cast("int")
-    )
-    return texts.select("_p.h", F.array_distinct(grams).alias("s")).groupBy("h").agg(F.first("s").alias("s"))
+    texts = texts.select(words(F.col("_t")).alias("_w"), "_at")
+
+    def gram(i: Column) -> Column:
+        return F.pmod(F.xxhash64(*[F.element_at("_w", i + j) for j in range(K)]), F.lit(1 << 31)).cast("int")
+
+    # Only what a node needs of its text goes on with it.
+    each = F.transform("_at", lambda p: F.struct(p["h"].alias("h"), F.array_distinct(F.transform(F.sequence(p["pos"] + 1, p["pos"] + PARAGRAPH - K + 1), gram)).alias("s")))
+    return texts.select(F.explode(each).alias("_p")).select("_p.h", "_p.s").dropDuplicates(["h"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -152,14 +156,14 @@ def left_out(sets: DataFrame, similarity: float, even: bool) -> DataFrame:
                         continue
                     for out in combinations(range(p), r):
                         sig = whole ^ np.bitwise_xor.reduce(x[:, out], axis=1) if r else whole
-                        sig = _mixed(sig + np.uint64(p - r) * STEP).view(np.int64)
+                        sig = _mixed(sig + np.full(1, p - r, np.uint64) * STEP).view(np.int64)
                         columns = [h[at], sig, np.full(len(at), r, np.int32), np.full(len(at), p - r, np.int32)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "sig", "left", "size"])
 
     return sets.select("h", "s").mapInArrow(rests, "h long, sig long, left int, size int")
 
 
-def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+def similar_sets(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) among all the sets, that give the same classes as all pairs of the Jaccard similarity.
 
     Nodes that share a rest are linked with the one of them that leaves out fewest: whoever is
@@ -169,42 +173,59 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     rows = left_out(sets, similarity, True)
     short = sets.filter(F.size("s") < PARAGRAPH - K + 1)
     if short.limit(1).count():  # repeat a shingle; only they can have fewer left out than their partner
-        fewer = small(cut(left_out(short, similarity, True).select("sig").distinct()))
+        fewer = small(scratch.keep("fewer", left_out(short, similarity, True).select("sig").distinct()))
         rows = rows.unionByName(left_out(sets, similarity, False).join(fewer, "sig", "left_semi").select("h", "sig", "left", "size"))
+    rows = scratch.keep("rests", rows)
     hubs = rows.groupBy("sig").agg(F.min(F.struct("left", "h")).alias("_hub"), F.min("h").alias("_first"), F.max("h").alias("_last"))
-    hubs = cut(hubs.filter(F.col("_first") != F.col("_last")).select("sig", "_hub"))
+    hubs = scratch.keep("hubs", hubs.filter(F.col("_first") != F.col("_last")).select("sig", "_hub"))
     links = rows.join(small(hubs), "sig").filter(F.col("h") != F.col("_hub.h"))
     links = links.filter(F.col("left") + F.col("_hub.left") <= F.col("size") * F.lit(most) + 1e-9)
-    return links.select(F.least("h", "_hub.h").alias("a"), F.greatest("h", "_hub.h").alias("b")).distinct()
+    links = scratch.keep("links", links.select(F.least("h", "_hub.h").alias("a"), F.greatest("h", "_hub.h").alias("b")).distinct())
+    scratch.forget("rests", "hubs")
+    return links
 
 
-def linked_nodes(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    pairs, crowd = shared_bands(nodes)
+def linked_nodes(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> DataFrame:
+    pairs, crowd = shared_bands(nodes, scratch)
     need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(crowd).distinct()
-    sets = cut(shingle_sets(need, nodes, docs, id_col, text_col))
-    return verified(pairs, sets, similarity).unionByName(similar_sets(sets.join(crowd, "h", "left_semi"), similarity))
+    sets = scratch.keep("sets", shingle_sets(need, nodes, docs, id_col, text_col))
+    alike = scratch.keep("alike", verified(pairs, sets, similarity))
+    links = similar_sets(sets.join(crowd, "h", "left_semi"), similarity, scratch)
+    scratch.forget("pairs", "crowd", "sets")
+    return alike.unionByName(links)
 
 
 def flanks(at: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, pos, before, after: hashes of up to WINDOW words on either side of each paragraph, the nearest first."""
-    need = at.groupBy(F.col("id").alias("_need")).agg(F.collect_set("pos").alias("_at"))
+    """id, pos, before, after: hashes of the n_before and n_after words beside each paragraph of at, the nearest first."""
+    need = at.groupBy(F.col("id").alias("_need")).agg(F.collect_list(F.struct("pos", "n_before", "n_after")).alias("_at"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(need, F.col("_id") == F.col("_need"))
     texts = texts.select("_id", F.transform(words(F.col("_t")), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int")).alias("_w"), "_at")
     near = lambda p: F.struct(
-        p.alias("pos"),
-        F.reverse(F.slice("_w", F.greatest(p - WINDOW, F.lit(0)) + 1, F.least(p, F.lit(WINDOW)))).alias("before"),
-        F.slice("_w", p + PARAGRAPH + 1, F.lit(WINDOW)).alias("after"),
+        p["pos"].alias("pos"),
+        F.reverse(F.slice("_w", p["pos"] - F.least(p["pos"], p["n_before"]) + 1, F.least(p["pos"], p["n_before"]))).alias("before"),
+        F.slice("_w", p["pos"] + PARAGRAPH + 1, p["n_after"]).alias("after"),
     )
-    texts = texts.select("_id", F.explode(F.transform("_at", near)).alias("_f")).select(F.col("_id").alias("id"), "_f.*")
-    return texts.groupBy("id", "pos").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    texts = texts.select(F.col("_id").alias("id"), F.explode(F.transform("_at", near)).alias("_f"))
+    return texts.select("id", "_f.*").dropDuplicates(["id", "pos"])
+
 
+def widened(gone: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """gone with lo and hi (one past): the equal run around each paragraph, compared with the kept one's.
 
-def widened(gone: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """gone with lo and hi (one past): the equal run around each paragraph, compared with the kept one's."""
-    places = gone.select("id", "pos").union(gone.select("kept_id", "kept_pos")).distinct()
-    near = cut(flanks(places, docs, id_col, text_col))
+    A paragraph is widened as far as the next one that stands in the same place to the kept document, and WINDOW words at most.
+    """
+    by = Window.partitionBy("id", "kept_id", F.col("kept_pos") - F.col("pos")).orderBy("pos")
+    room = lambda n: F.when(n.isNull(), WINDOW).otherwise(F.least(F.greatest(n, F.lit(0)), F.lit(WINDOW)))
+    gone = gone.withColumn("n_before", room(F.col("pos") - PARAGRAPH - F.lag("pos").over(by))).withColumn("n_after", room(F.lead("pos").over(by) - PARAGRAPH - F.col("pos")))
+    gone = scratch.keep("gone", gone)
+    both_sides = ["n_before", "n_after"]
+    places = gone.select("id", "pos", *both_sides).union(gone.select("kept_id", "kept_pos", *both_sides))
+    places = places.groupBy("id", "pos").agg(*[F.max(c).alias(c) for c in both_sides])
+    near = scratch.keep("near", flanks(places, docs, id_col, text_col))
     kept = near.select(F.col("id").alias("kept_id"), F.col("pos").alias("kept_pos"), F.col("before").alias("_b"), F.col("after").alias("_a"))
-    both = gone.join(near, ["id", "pos"]).join(kept, ["kept_id", "kept_pos"])
+    both = gone.join(near, ["id", "pos"])
+    both = both.withColumn("before", F.slice("before", F.lit(1), F.col("n_before"))).withColumn("after", F.slice("after", F.lit(1), F.col("n_after")))
+    both = both.join(kept, ["kept_id", "kept_pos"])
 
     def equal(x: str, y: str) -> Column:
         differ = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), F.lit(True))
@@ -219,30 +240,29 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Words are numbered from 0. class_id and kept_id are those of the span's first paragraph;
     kept_id is the document whose copy stays.
     """
-    each, paragraph_table = stored(all_paragraphs(docs, id_col, text_col))
-    nodes = each.groupBy("h").agg(
-        F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last_id"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)]
-    )
-    nodes, node_table = stored(nodes)
-    edges = cut(linked_nodes(nodes, docs, id_col, text_col, similarity))
-    labels = components(edges, nodes.select(F.col("h").alias("key"), F.col("first.id").alias("id")))
-    linked = labels.select(F.col("node").alias("h"), F.col("label.key").alias("class_id")).join(nodes.select("h", "first", "last_id"), "h")
-    kept = linked.groupBy("class_id").agg(F.min("first").alias("_kept"), F.max("last_id").alias("_last"))
-    linked = linked.select("h", "class_id", "first").join(kept, "class_id").filter(F.col("_kept.id") != F.col("_last"))
-    kept_pos = F.when(F.col("first.id") == F.col("_kept.id"), F.col("first.pos")).otherwise(F.col("_kept.pos"))
-    linked = linked.select("h", "class_id", F.col("_kept.id").alias("kept_id"), kept_pos.alias("kept_pos"))
-    alone = nodes.filter(F.col("first.id") != F.col("last_id")).join(labels, F.col("h") == F.col("node"), "left_anti")
-    repeated = cut(linked.unionByName(alone.select("h", F.col("h").alias("class_id"), F.col("first.id").alias("kept_id"), F.col("first.pos").alias("kept_pos"))))
-    gone = each.select("id", "pos", "h").join(repeated, "h").filter(F.col("id") != F.col("kept_id")).drop("h")
-    gone = widened(cut(gone.distinct()), docs, id_col, text_col)
-    by = Window.partitionBy("id").orderBy("lo", "pos")
-    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    gone = gone.withColumn("_new", F.when(F.col("lo") <= reach, 0).otherwise(1))
-    gone = gone.withColumn("_span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = gone.groupBy("id", "_span").agg(
-        F.min("lo").cast("long").alias("first_word"), F.max("hi").cast("long").alias("last_word"), F.count(F.lit(1)).alias("n_paragraphs"), F.min(F.struct("pos", "class_id", "kept_id")).alias("_f")
-    )
-    out = cut(spans.select(F.col("id").alias(id_col), "first_word", "last_word", "n_paragraphs", F.col("_f.class_id").alias("class_id"), F.col("_f.kept_id").alias("kept_id")))
-    for path in (paragraph_table, node_table):
-        removed(docs.sparkSession, path)
-    return out
+    with Scratch(docs.sparkSession) as scratch:
+        each = scratch.keep("each", all_paragraphs(docs, id_col, text_col))
+        nodes = each.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last_id"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)])
+        nodes = scratch.keep("nodes", nodes)
+        edges = linked_nodes(nodes, docs, id_col, text_col, similarity, scratch)
+        labels = components(edges, scratch)
+        linked = labels.select(F.col("node").alias("h"), F.col("label").alias("class_id")).join(nodes.select("h", "first", "last_id"), "h")
+        kept = linked.groupBy("class_id").agg(F.min("first").alias("_kept"), F.max("last_id").alias("_last"))
+        linked = linked.select("h", "class_id", "first").join(kept, "class_id").filter(F.col("_kept.id") != F.col("_last"))
+        kept_pos = F.when(F.col("first.id") == F.col("_kept.id"), F.col("first.pos")).otherwise(F.col("_kept.pos"))
+        linked = linked.select("h", "class_id", F.col("_kept.id").alias("kept_id"), kept_pos.alias("kept_pos"))
+        alone = nodes.filter(F.col("first.id") != F.col("last_id")).join(labels, F.col("h") == F.col("node"), "left_anti")
+        alone = alone.select("h", F.col("h").alias("class_id"), F.col("first.id").alias("kept_id"), F.col("first.pos").alias("kept_pos"))
+        repeated = scratch.keep("repeated", linked.unionByName(alone))
+        scratch.forget("nodes")
+        gone = scratch.keep("found", each.select("id", "pos", "h").join(repeated, "h").filter(F.col("id") != F.col("kept_id")).drop("h").distinct())
+        scratch.forget("each")
+        gone = widened(gone, docs, id_col, text_col, scratch)
+        by = Window.partitionBy("id").orderBy("lo", "pos")
+        reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+        gone = gone.withColumn("_new", F.when(F.col("lo") <= reach, 0).otherwise(1))
+        gone = gone.withColumn("_span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        spans = gone.groupBy("id", "_span").agg(
+            F.min("lo").cast("long").alias("first_word"), F.max("hi").cast("long").alias("last_word"), F.count(F.lit(1)).alias("n_paragraphs"), F.min(F.struct("pos", "class_id", "kept_id")).alias("_f")
+        )
+        return cut(spans.select(F.col("id").alias(id_col), "first_word", "last_word", "n_paragraphs", F.col("_f.class_id").alias("class_id"), F.col("_f.kept_id").alias("kept_id")))

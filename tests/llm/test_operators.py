@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmill.llm import ann, decontamination, language, linear, mixing, near_dedup, quality, secrets, substrings, tokens, toxicity
+from quillmill.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -215,6 +217,11 @@ def test_an_equal_run_goes_whole(spark, n):
     assert sorted(out) == wanted
 
 
+def similar_sets(spark, rows, similarity):
+    with Scratch(spark) as scratch:
+        return substrings.similar_sets(rows, similarity, scratch).collect()
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.7])
 def test_similar_sets_have_the_classes_of_all_pairs(spark, similarity):
     rng = random.Random(13)
@@ -224,7 +231,7 @@ def test_similar_sets_have_the_classes_of_all_pairs(spark, similarity):
         sets += [base, base[:11] + [99], base[:10], base[:10] + [97, 98], base[:8], [*base[:9], 96], base[:4], base[:5]]
     sets = [sorted(set(s)) for s in sets]
     rows = spark.createDataFrame(list(enumerate(sets)), "h long, s array<int>").repartition(3)
-    edges = [(r["a"], r["b"]) for r in substrings.similar_sets(rows, similarity).collect()]
+    edges = [(r["a"], r["b"]) for r in similar_sets(spark, rows, similarity)]
     pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= len(set(sets[i]) | set(sets[j])) * similarity - 1e-9]
     assert set(edges) <= set(pairs)
 
@@ -452,18 +459,28 @@ def test_classes_equal_brute_force(spark):
     assert near_dedup.near_duplicate_classes(rows.limit(0)).count() == 0
 
 
-def test_scattered_edits_are_recalled(spark):
+@pytest.mark.parametrize(("share", "least"), [(0.05, 0.99), (0.10, 0.99), (0.15, 0.97), (0.20, 0.90)])
+def test_scattered_edits_are_recalled(spark, share, least):
     rng = random.Random(16)
     texts = []
-    for i in range(120):
-        base = sentence(rng, 200).split()
+    for i in range(150):
+        n = (50, 100, 300)[i % 3]
+        base = sentence(rng, n).split()
         w = list(base)
-        for at in rng.sample(range(200), 20 + i // 6):  # 10 to 20 %
+        for at in rng.sample(range(n), int(share * n)):
             w[at] = sentence(rng, 1, "vwxyz") + "q"
         texts += [" ".join(base), " ".join(w)]
     out = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(docs(spark, texts)).collect()}
-    assert all(out[i] == i for i in range(0, 240, 2)) and all(out[i] in (i, i - 1) for i in range(1, 240, 2))
-    assert sum(out[i] == i - 1 for i in range(1, 240, 2)) >= 0.95 * 120
+    assert all(out[i] == i for i in range(0, 300, 2)) and all(out[i] in (i, i - 1) for i in range(1, 300, 2))
+    assert sum(out[i] == i - 1 for i in range(1, 300, 2)) >= least * 150
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 400), max_size=30), st.lists(st.integers(0, 400), max_size=30))
+def test_counts_of_words_never_refuse_a_near_pair(a, b):
+    x, y = (near_dedup.word_classes(np.array(t, np.int64)) for t in (a, b))
+    if distance(a, b) <= 0.2 * max(len(a), len(b)):
+        assert near_dedup.may_be_near(x, y, np.int64(len(a)), np.int64(len(b)), 0.8)
 
 
 def test_a_pair_in_a_bucket_of_many_unlike_texts_is_found(spark):
@@ -489,11 +506,19 @@ def test_near_copies_without_an_id_are_found(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    key = lambda i: hashlib.md5(str(i).encode()).digest()
-    edges = spark.createDataFrame([(key(i), key(i + 1)) for i in range(40)] + [(key(100), key(101))], "a binary, b binary")
-    order = spark.createDataFrame([(key(i), i) for i in range(102)], "key binary, id long")
-    out = near_dedup.components(edges, order).collect()
-    assert sorted(Counter(r["label"]["id"] for r in out).items()) == [(0, 41), (100, 2)]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)], "a long, b long")
+    with Scratch(spark) as scratch:
+        out = near_dedup.components(edges, scratch).collect()
+    assert sorted(Counter(r["label"] for r in out).items()) == [(0, 41), (100, 3)]
+
+
+def test_scratch_leaves_nothing(spark):
+    before = spark.conf.get(Scratch.CLEAN, None)
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as scratch:
+        kept = scratch.keep("x", spark.range(3).repartition(2))
+        assert kept.count() == 3 and spark.conf.get(Scratch.CLEAN) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(Scratch.CLEAN, None) == before and not Path(scratch.folder).exists()
 
 
 # Nearest neighbours
