@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -46,6 +46,11 @@ def clean_text(text: Column, compose: bool = True) -> Column:
     return tidy_space(without_controls(line_endings(nfkc(text) if compose else text)))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once, however often what follows refers to it: nothing is pushed below a generator."""
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def collapse(text: Column) -> Column:
     """Every run of white space is one space, none at the ends; null is empty."""
     return strip(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), rf"(?U){SPACE}+", " "))

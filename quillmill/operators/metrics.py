@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,17 @@ def mean_loss(losses: Column) -> Column:
     return F.avg(losses)
 
 
+def masked_mean(losses: Column, labels: Column, ignored: int = -100) -> Column:
+    """Mean loss of the positions whose label counts; null if none does."""
+    return F.avg(F.when(labels != ignored, losses))
+
+
+def model_size(shapes: dict[str, tuple[int, ...]], bytes_each: int = 4) -> dict[str, float]:
+    """Parameters, and the MB they take, of a model's arrays by their shapes."""
+    n = sum(math.prod(s) for s in shapes.values())
+    return {"parameters": n, "megabytes": n * bytes_each / (1 << 20)}
+
+
 def perplexity(mean: Column, most: float | None = None) -> Column:
     return F.exp(mean if most is None else F.least(mean, F.lit(most)))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions import text as T
-from ..session import broadcast_if_small, materialized
 
 # Special tokens, in order of their ids.
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
@@ -26,19 +27,27 @@ def word_counts(texts: DataFrame, text: Column) -> DataFrame:
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def word_vocabulary(counts: DataFrame, size: int = VOCABULARY, min_count: int = MIN_COUNT) -> DataFrame:
-    """word, token: the most frequent words (ties by word), numbered after the special tokens. At most `size` rows."""
-    top = counts.filter(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(size - len(SPECIALS)).collect()
-    spark = counts.sparkSession
-    return spark.createDataFrame([(r["word"], i + len(SPECIALS)) for i, r in enumerate(top)], "word string, token int")
+def word_vocabulary(counts: DataFrame, size: int = VOCABULARY, min_count: int = MIN_COUNT) -> list[str]:
+    """The most frequent words (ties by word), at most `size` with the special tokens; a word's place after these is its token."""
+    top = counts.filter(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(size - len(SPECIALS))
+    return top.select("word").toArrow()["word"].to_pylist()
 
 
-def encode_words(df: DataFrame, key: list[str], text: Column, vocabulary: DataFrame) -> DataFrame:
-    """key columns and ids (array of int): word-level tokens, unknown words as <unk>. Keys should be distinct."""
-    rows = df.select(*key, F.posexplode_outer(F.regexp_extract_all(text, F.lit(WORD), F.lit(1))).alias("_p", "word"))
-    rows = rows.join(broadcast_if_small(vocabulary), "word", "left")
-    ids = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("_p", F.coalesce("token", F.lit(UNK)).alias("t")))))
-    return rows.groupBy(*key).agg(F.transform(ids, lambda x: x["t"]).alias("ids"))
+def word_ids(text: Column, vocabulary: list[str]) -> Column:
+    """Word-level tokens (array of int), unknown words as <unk>; none for null. Looked up within the row, as vectors."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def ids(words: pa.Array) -> pa.Array:
+        flat = pc.fill_null(pc.add(pc.index_in(words.flatten(), value_set=pa.array(vocabulary, pa.string())), len(SPECIALS)), UNK)
+        ends = pc.cumulative_sum(pc.cast(pc.list_value_length(words), pa.int32()))
+        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), pc.cast(flat, pa.int32()))
+
+    return ids(F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), F.array().cast("array<string>")))
+
+
+def encode_words(df: DataFrame, key: list[str], text: Column, vocabulary: list[str]) -> DataFrame:
+    """key columns and ids (array of int): word-level tokens."""
+    return df.select(*key, word_ids(text, vocabulary).alias("ids"))
 
 
 def train_bpe(texts: DataFrame, text: Column, size: int = VOCABULARY, min_count: int = MIN_COUNT, exact: bool = True) -> str:
@@ -95,11 +104,12 @@ def encode(model: str, text: Column, *, bos: bool = False, eos: bool = False) ->
 
 
 def decode(model: str, ids: Column) -> Column:
-    """Text of token ids; special tokens are kept."""
+    """Text of token ids; special tokens are kept, null stays null."""
 
     @F.pandas_udf(StringType())
     def text(rows: pd.Series) -> pd.Series:
-        return pd.Series(_tokenizer(model).decode_batch([[int(i) for i in r] for r in rows], skip_special_tokens=False))
+        found = iter(_tokenizer(model).decode_batch([[int(i) for i in r] for r in rows if r is not None], skip_special_tokens=False))
+        return pd.Series([None if r is None else next(found) for r in rows], dtype=object)
 
     return text(ids)
 
@@ -117,10 +127,8 @@ def token_stats(prompt_ids: Column, response_ids: Column, context: int, unk: int
     }
 
 
-def record_tokens(records: DataFrame, vocabulary: DataFrame, key: str = "id") -> DataFrame:
+def record_tokens(records: DataFrame, vocabulary: list[str]) -> DataFrame:
     """records with prompt_ids and response_ids of word-level tokens."""
-    parts = records.select(key, F.explode(F.array(F.struct(F.lit(0).alias("part"), T.prompt(F.col("instruction"), F.col("input")).alias("text")), F.struct(F.lit(1).alias("part"), F.col("response").alias("text")))).alias("_x"))
-    ids = materialized(encode_words(parts.select(key, "_x.part", "_x.text"), [key, "part"], F.col("text"), vocabulary))
-    both = ids.groupBy(key).agg(F.max(F.when(F.col("part") == 0, F.col("ids"))).alias("_p"), F.max(F.when(F.col("part") == 1, F.col("ids"))).alias("_r"))
-    bos, eos = F.array(F.lit(BOS)), F.array(F.lit(EOS))
-    return records.join(both.select(key, F.concat(bos, "_p").alias("prompt_ids"), F.concat("_r", eos).alias("response_ids")), key)
+    prompt = word_ids(T.prompt(F.col("instruction"), F.col("input")), vocabulary)
+    rows = records.withColumn("_p", prompt).withColumn("_r", word_ids(F.col("response"), vocabulary))
+    return rows.withColumn("prompt_ids", F.concat(F.array(F.lit(BOS)), "_p")).withColumn("response_ids", F.concat("_r", F.array(F.lit(EOS)))).drop("_p", "_r")

@@ -122,6 +122,18 @@ def windows(by: str, width: int, stride: int) -> str:
     return f"wi AS (SELECT {part}k, list(t ORDER BY pos) AS v FROM (SELECT {part}t, pos, unnest(range({first}, pos // {stride} + 1)) AS k FROM al) WHERE pos < k * {stride} + {width} GROUP BY {part}k HAVING count(*) = {width})"
 
 
+CUSTOMER_ROWS = "SELECT *, row_number() OVER () - 1 AS doc_id, sha256((row_number() OVER () - 1)::VARCHAR || ':c_acctbal=' || c_acctbal || chr(31) || 'c_custkey=' || c_custkey || chr(31) || 'c_mktsegment=' || c_mktsegment || chr(31) || 'c_name=' || c_name || chr(31) || 'c_nationkey=' || c_nationkey) AS d FROM customer"
+PART_ROWS = "SELECT *, row_number() OVER () - 1 AS doc_id, sha256((row_number() OVER () - 1)::VARCHAR || ':p_brand=' || p_brand || chr(31) || 'p_name=' || p_name || chr(31) || 'p_partkey=' || p_partkey || chr(31) || 'p_retailprice=' || p_retailprice || chr(31) || 'p_size=' || p_size || chr(31) || 'p_type=' || p_type) AS d FROM part"
+PART_LINE = "concat_ws(chr(10), 'p_partkey: ' || p_partkey, 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_type: ' || p_type, 'p_size: ' || p_size, 'p_retailprice: ' || p_retailprice)"
+CUSTOMER_LINE = "concat_ws(chr(10), 'c_custkey: ' || c_custkey, 'c_name: ' || c_name, 'c_nationkey: ' || c_nationkey, 'c_acctbal: ' || c_acctbal, 'c_mktsegment: ' || c_mktsegment)"
+
+
+def row_tokens(rows: str, line: str, split: str) -> str:
+    """CTEs: the tokens of a table's rows as text, by a vocabulary of all of them, and of one split in tk."""
+    src = f"rt AS (SELECT doc_id, {line} AS text, {split_of('d')} AS split FROM ({rows}))"
+    return f"WITH {src}, {VOCAB.strip().replace('FROM documents', 'FROM rt')}, rs AS (SELECT * FROM rt WHERE split = '{split}'), {tokenized('tk', 'rs', 'doc_id', 'text')}"
+
+
 DOCTOK = f"WITH {VOCAB.strip()}, {tokenized('tk', 'documents', 'doc_id', 'text')}"
 JOINED = "array_to_string({}, ',')"
 
@@ -179,8 +191,8 @@ ORACLES = {
         f AS (SELECT *, row_number() OVER (PARTITION BY instruction, chunk ORDER BY doc_id, rank) AS rn FROM ch, k)
         SELECT doc_id, category, instruction, sha256(chunk) AS input_sha256,
                substr(sha256(instruction || chr(10) || chunk || chr(10) || chunk || chr(10) || category || chr(10) || source), 1, 16) AS id FROM f WHERE rn = 1""",
-    "row_to_text": "SELECT p_partkey, concat_ws(chr(10), 'p_partkey: ' || p_partkey, 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_type: ' || p_type, 'p_size: ' || p_size) AS line FROM part",
-    "row_split": f"SELECT c_custkey, {split_of('d')} AS split FROM (SELECT c_custkey, sha256((row_number() OVER () - 1)::VARCHAR || ':c_custkey=' || c_custkey || chr(31) || 'c_mktsegment=' || c_mktsegment || chr(31) || 'c_name=' || c_name || chr(31) || 'c_nationkey=' || c_nationkey) AS d FROM customer)",
+    "row_to_text": "SELECT p_partkey, concat_ws(chr(10), 'p_partkey: ' || p_partkey, 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_type: ' || p_type, 'p_size: ' || p_size, 'p_retailprice: ' || p_retailprice) AS line FROM part",
+    "row_split": f"SELECT c_custkey, {split_of('d')} AS split FROM ({CUSTOMER_ROWS})",
     "count_split": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM labels) SELECT doc_id, CASE WHEN i <= greatest(1, trunc(n * 0.9::DOUBLE)) THEN 'train' WHEN i <= greatest(1, trunc(n * 0.9::DOUBLE)) + greatest(1, trunc(n * 0.05::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM r",
     "ratio_split": "WITH r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS i, count(*) OVER () AS n FROM conversations), b AS (SELECT *, greatest(1, round_even(n * 0.1::DOUBLE, 0)) AS t FROM r) SELECT conv_id, turn, CASE WHEN i <= n - 2 * t THEN 'train' WHEN i <= n - t THEN 'validation' ELSE 'test' END AS split FROM b",
     "prompt_format": f"WITH {CONV.strip()} SELECT conv_id, {PROMPT} AS prompt, '### Instruction' || chr(10) || instruction || chr(10) || chr(10) || '### Input' || chr(10) || input || chr(10) || chr(10) || '### Response' || chr(10) || response AS training_text FROM rec",
@@ -194,6 +206,9 @@ ORACLES = {
     "lm_windows": f"{DOCTOK}, {stream('', 'ids')}, {windows('', 257, 128)} SELECT k, md5({JOINED.format('v[1:256]')}) AS inputs, md5({JOINED.format('v[2:257]')}) AS targets FROM wi",
     "split_lm_windows": f"WITH {VOCAB.strip()}, {tokenized('t0', 'documents', 'doc_id', 'text')}, sp AS (SELECT doc_id, {split_of('d')} AS split FROM (SELECT doc_id, sha256({collapse('text')}) AS d FROM documents)), tk AS (SELECT * FROM t0 JOIN sp USING (doc_id)), {stream('split', 'ids')}, {windows('split', 257, 256)} SELECT split, k, md5({JOINED.format('v[1:256]')}) AS inputs, md5({JOINED.format('v[2:257]')}) AS targets FROM wi",
     "seq2seq_windows": f"{DOCTOK}, {stream('', 'list_append(ids, 3)')}, {windows('', 512, 256)} SELECT k, md5({JOINED.format('v[1:256]')}) AS source, md5({JOINED.format('list_concat([2], v[257:511])')}) AS decoder_input, md5({JOINED.format('v[257:512]')}) AS target FROM wi",
+    "parquet_lm_windows": f"{row_tokens(PART_ROWS, PART_LINE, 'train')}, {stream('', 'ids')}, {windows('', 257, 128)} SELECT k, md5({JOINED.format('v[1:256]')}) AS inputs, md5({JOINED.format('v[2:257]')}) AS targets FROM wi",
+    "parquet_seq2seq_windows": f"{row_tokens(CUSTOMER_ROWS, CUSTOMER_LINE, 'validation')}, {stream('', 'list_append(ids, 3)')}, {windows('', 64, 32)} SELECT k, md5({JOINED.format('v[1:32]')}) AS source, md5({JOINED.format('list_concat([2], v[33:63])')}) AS decoder_input, md5({JOINED.format('v[33:64]')}) AS target FROM wi",
+    "masked_loss": "SELECT o_custkey AS batch, round(avg(o_totalprice::DOUBLE / 1e5) FILTER (o_orderkey % 3 <> 0), 9) AS loss FROM orders GROUP BY o_custkey",
     "sft_mask": f"{MASKED} SELECT conv_id, {JOINED.format('inputs')} AS inputs, {JOINED.format('labels')} AS labels FROM y",
     "pad_batch": f"{MASKED}, z AS (SELECT *, conv_id // 8 AS batch, max(len(inputs)) OVER (PARTITION BY conv_id // 8) AS m FROM y) SELECT conv_id, batch, {JOINED.format('list_concat(inputs, list_transform(range(m - len(inputs)), lambda i: 0))')} AS inputs, {JOINED.format('list_concat(labels, list_transform(range(m - len(labels)), lambda i: -100))')} AS labels FROM z",
     "perplexity": "SELECT l_returnflag, round(avg(l_discount::DOUBLE), 9) AS mean_loss, round(exp(avg(l_discount::DOUBLE)), 9) AS perplexity, round(exp(least(avg(l_discount::DOUBLE) * 1000, 20.0)), 3) AS clamped FROM lineitem GROUP BY l_returnflag",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality
 from ..functions import text as T
 from ..operators import dedup
+from ..operators.scan import numbered
 from ..session import materialized
 
 STAGES = ("exact_duplicate", "failed", "rejected", "content_duplicate", "near_duplicate", "accepted")
@@ -16,7 +17,7 @@ STAGES = ("exact_duplicate", "failed", "rejected", "content_duplicate", "near_du
 def staged(docs: DataFrame, *, id_col: str, raw: Column, text: Column, order: list[str], compose: bool = True) -> DataFrame:
     """A row for each document: id, order columns, stage (of STAGES), text (cleaned), characters, hashes, fp and split.
 
-    raw: the bytes, whose first document wins even if it fails later. text: null where
+    order: columns in which no two documents are equal, as path_order() of a path. raw: the bytes, whose first document wins even if it fails later. text: null where
     extraction failed. Content duplicates are found before near ones, so a copy of a document
     that is dropped as near counts as a content duplicate.
     """
@@ -26,16 +27,18 @@ def staged(docs: DataFrame, *, id_col: str, raw: Column, text: Column, order: li
     first = dedup.first_wins(base.select(id_col, *keys, "file_sha256"), "file_sha256", order, "_first").select(id_col, "_first")
     base = base.join(first, id_col)
     clean = F.when(F.col("_first") & F.col("_raw").isNotNull(), T.clean_text(F.col("_raw"), compose))
-    base = base.withColumn("text", clean).drop("_raw")
+    base = T.once(base, "text", clean).drop("_raw")
     ok = F.col("text").isNotNull() & quality.accepted(F.col("text"))
     base = base.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("content_sha256", F.when(F.col("_ok"), T.content_hash(F.col("text"))))
     narrow = materialized(base.select(id_col, *keys, "file_sha256", "_first", "_ok", F.col("text").isNull().alias("_none"), F.length("text").alias("characters"), "content_sha256", F.when(F.col("_ok"), F.col("text")).alias("text")))
-    unique = dedup.first_wins(narrow.filter("_ok").select(id_col, *keys, "content_sha256"), "content_sha256", order, "_unique").filter("_unique").select(id_col)
+    unique = dedup.first_wins(narrow.filter("_ok").select(id_col, *keys, "content_sha256"), "content_sha256", order, "_unique").filter("_unique").select(id_col, *keys)
     fps = materialized(dedup.simhash(narrow.join(unique, id_col, "left_semi"), id_col, F.col("text")))
-    ranked = fps
-    if order != [id_col]:
-        raise ValueError("ids must sort in the order of documents")
-    gone = dedup.greedy_drops(dedup.near_pairs(ranked, id_col)).select(F.col("id").alias(id_col), F.lit(True).alias("_near"))
+    ranked = materialized(fps.join(numbered(unique, order, "_rank").select(id_col, "_rank"), id_col))
+    # Of equal fingerprints all but the first go: if it stays they are near it, else near what it is near to.
+    first = materialized(ranked.groupBy("fp").agg(F.min("_rank").alias("_first")))
+    pairs = dedup.near_pairs(first.select(F.col("_first").alias("rank"), "fp"), "rank")
+    near = dedup.greedy_drops(pairs).select(F.col("id").alias("_rank")).unionByName(ranked.join(first, "fp").filter("_rank <> _first").select("_rank"))
+    gone = ranked.join(near.distinct(), "_rank").select(id_col, F.lit(True).alias("_near"))
     out = narrow.join(fps, id_col, "left").join(gone, id_col, "left")
     stage = (
         F.when(~F.col("_first"), "exact_duplicate").when(F.col("_none"), "failed").when(~F.col("_ok"), "rejected")
@@ -63,5 +66,5 @@ def counters(rows: DataFrame) -> DataFrame:
 
 def preprocess(docs: DataFrame, text: Column, compose: bool = True) -> DataFrame:
     """docs with cleaned and accepted."""
-    out = docs.withColumn("cleaned", T.clean_text(text, compose))
+    out = T.once(docs, "cleaned", T.clean_text(text, compose))
     return out.withColumn("accepted", F.coalesce(quality.accepted(F.col("cleaned")), F.lit(False)))

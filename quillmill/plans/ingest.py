@@ -32,7 +32,7 @@ def ingest_records(spark: SparkSession, root: str, prompt_ids: Column, response_
     """
     if context < 2 or shard_size < 1:
         raise ValueError("the context must be at least 2 and a shard at least 1")
-    parsed = materialized(formats.parsed_records(files.scan(spark, root, files.RECORD_SUFFIXES)))
+    parsed = materialized(formats.parsed_records(spark, root))
     rows, faults = normalized(parsed)
     rows = deduplicated(rows).withColumn("prompt", T.prompt(F.col("instruction"), F.col("input")))
     stats = tokens.token_stats(F.col("_p"), F.col("_r"), context, unk)

@@ -9,7 +9,7 @@ from .functions import quality
 from .functions import text as T
 from .oracles import ORACLES
 from .operators import dedup, metrics, packing, records, splits, tokens
-from .plans import corpus
+from .plans import corpus, training
 from .session import materialized, table
 
 CONTEXT, STRIDE, SHARD = 256, 128, 50_000
@@ -20,7 +20,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "source", T.clean_text(F.col("text")).alias("text"))
+    return T.once(_docs(spark, sf_dir).select("doc_id", "source", "text"), "text", T.clean_text(F.col("text")))
 
 
 def clean_documents(spark, sf_dir):
@@ -136,14 +136,14 @@ def passage_audit(spark, sf_dir):
 
 
 def row_to_text(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = table(spark, sf_dir, "part")
     return part.select("p_partkey", splits.row_to_text(part.columns, dict(part.dtypes)).alias("line"))
 
 
 def row_split(spark, sf_dir):
-    cols = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
-    rows = table(spark, sf_dir, "customer").select(*cols, F.col("_metadata.row_index").alias("row_index"))
-    return rows.select("c_custkey", splits.row_split(F.col("row_index"), {c: F.col(c) for c in cols}).alias("split"))
+    rows = table(spark, sf_dir, "customer")
+    shown = {c: splits.python_text(F.col(c), kind) for c, kind in rows.dtypes}
+    return rows.select("c_custkey", splits.row_split(F.col("_metadata.row_index"), shown).alias("split"))
 
 
 def count_split(spark, sf_dir):
@@ -229,6 +229,27 @@ def _masked(spark, sf_dir):
     return _record_tokens(spark, sf_dir).select("conv_id", x.alias("inputs"), y.alias("labels"))
 
 
+def _row_windows(spark, sf_dir, name, split, **options):
+    texts = training.parquet_texts(spark, f"{sf_dir}/{name}.parquet")
+    vocabulary = tokens.word_vocabulary(tokens.word_counts(texts, F.col("text")))
+    return training.dataset(texts.filter(F.col("split") == split), lambda t: tokens.word_ids(t, vocabulary), split=split, **options)
+
+
+def parquet_lm_windows(spark, sf_dir):
+    out = _row_windows(spark, sf_dir, "part", "train", context=CONTEXT)
+    return out.select("k", F.md5(_joined("input_ids")).alias("inputs"), F.md5(_joined("target_ids")).alias("targets"))
+
+
+def parquet_seq2seq_windows(spark, sf_dir):
+    out = _row_windows(spark, sf_dir, "customer", "validation", kind="seq2seq", context=32)
+    return out.select("k", F.md5(_joined("source")).alias("source"), F.md5(_joined("decoder_input")).alias("decoder_input"), F.md5(_joined("target")).alias("target"))
+
+
+def masked_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch"), F.when(F.col("o_orderkey") % 3 == 0, -100).otherwise(1).alias("label"), (F.col("o_totalprice").cast("double") / 1e5).alias("loss"))
+    return rows.groupBy("batch").agg(F.round(metrics.masked_mean(F.col("loss"), F.col("label")), 9).alias("loss"))
+
+
 def sft_mask(spark, sf_dir):
     return _masked(spark, sf_dir).select("conv_id", _joined("inputs").alias("inputs"), _joined("labels").alias("labels"))
 
@@ -260,6 +281,6 @@ NAMES = """clean_documents quality_flags quality_summary byte_dedup content_dedu
 source_inventory simhash near_dup_pairs corpus_build corpus_stats conversation_records conversation_dedup record_splits
 shard_assign qa_pairs_loose qa_pairs_strict paragraph_chunks passage_audit row_to_text row_split count_split ratio_split
 prompt_format word_frequency token_stats token_summary rejections category_counts lm_windows split_lm_windows
-seq2seq_windows sft_mask pad_batch perplexity top_k_filter nucleus_filter""".split()
+seq2seq_windows parquet_lm_windows parquet_seq2seq_windows masked_loss sft_mask pad_batch perplexity top_k_filter nucleus_filter""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 __all__ = ["NAMES", "ORACLES", "QUERIES"]

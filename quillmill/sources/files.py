@@ -42,20 +42,27 @@ def path_order(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] | None = None, recursive: bool = True) -> DataFrame:
+def below(base: str, path: Column) -> Column:
+    """A file's path from a folder on; base as checked_dir() gives it, path as Spark's scans do."""
+    path = F.regexp_replace(path, "^file:/+", "file:/")
+    return F.substring(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), len(base) + 2, 1 << 30)
+
+
+def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] | None = None, recursive: bool = True, skip_unreadable: bool = False) -> DataFrame:
     """path, relative, suffix, length, content of the files under root; content is only read where it is used.
 
     Spark's reader passes over files of no bytes.
     """
     base = checked_dir(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
-    files = files.withColumn("relative", F.substring(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), len(base) + 2, 1 << 30)).withColumn("suffix", suffix(F.col("path")))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", str(skip_unreadable).lower())
+    files = reader.load(base)
+    files = files.withColumn("relative", below(base, F.col("path"))).withColumn("suffix", suffix(F.col("path")))
     return files.filter(F.col("suffix").isin(*suffixes)) if suffixes else files
 
 
 def text_files(spark: SparkSession, root: str) -> DataFrame:
-    """relative, text: UTF-8 with bad bytes replaced; blank files are left out."""
-    files = scan(spark, root, TEXT_SUFFIXES)
+    """relative, text: UTF-8 with bad bytes replaced; blank files, and files that can't be read, are left out."""
+    files = scan(spark, root, TEXT_SUFFIXES, skip_unreadable=True)
     out = files.select("relative", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return out.filter(T.strip(F.col("text")) != "")
 

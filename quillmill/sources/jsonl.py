@@ -7,24 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import records
+from ..session import materialized
+from .lines import numbered_lines
 
 FIELDS = "instruction string, input string, response string, category string, source string"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (1 up) and line, of a file that is not split; blank lines are left out."""
-    whole = spark.read.text(path, wholetext=True)
-    out = whole.select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_p", "line"))
-    return out.select((F.col("_p") + 1).alias("line_no"), "line").filter(T.strip(F.col("line")) != "")
-
-
 def load(spark: SparkSession, path: str, *, categories: tuple[str, ...], duplicates: str = "error", keep: tuple[str, ...] | None = None) -> DataFrame:
     """line_no, instruction, input, response, category, source, with every record checked.
 
     duplicates: `error`, or `first` to keep the first of each. keep: categories to return, after all checks.
     """
-    parsed = lines(spark, path).withColumn("_r", F.from_json("line", FIELDS, {"mode": "PERMISSIVE"}))
-    json_ok = F.is_valid_json("line") if hasattr(F, "is_valid_json") else F.expr("try_parse_json(line)").isNotNull()
+    lines = numbered_lines(spark, path).drop("path").filter(T.strip(F.col("line")) != "")
+    parsed = materialized(lines).withColumn("_r", F.from_json("line", FIELDS, {"mode": "PERMISSIVE"}))
+    json_ok = F.try_parse_json("line").isNotNull()
     why = records.problem(F.col("_r.instruction"), F.col("_r.input"), F.col("_r.response"), F.col("_r.category"), categories)
     parsed = parsed.withColumn("_why", F.when(~json_ok, F.lit("not JSON")).otherwise(why))
     bad = parsed.filter("_why is not null").orderBy("line_no").limit(1).collect()

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import corpus
 
-def write_corpus(rows: DataFrame, folder: str) -> None:
-    """Accepted texts as Parquet by split, and the manifest's columns as JSON lines."""
+
+def write_corpus(rows: DataFrame, folder: str, source: str) -> None:
+    """Accepted texts, each ended by a blank line, by split, and the manifest as JSON lines. rows: of corpus.staged()."""
     kept = rows.filter("stage = 'accepted'")
-    kept.select("text", "split").write.mode("overwrite").partitionBy("split").parquet(f"{folder}/corpus")
-    kept.drop("text", "stage").write.mode("overwrite").json(f"{folder}/manifest")
+    kept.select("text", "split").write.mode("overwrite").partitionBy("split").option("lineSep", "\n\n").text(f"{folder}/corpus")
+    corpus.manifest(rows, source).write.mode("overwrite").json(f"{folder}/manifest")
 
 
 def write_cleaned(rows: DataFrame, folder: str, relative: str = "relative") -> dict[str, int]:
-    """Cleaned texts that were accepted, by their relative path; numbers processed and rejected."""
+    """Cleaned texts that were accepted, by their relative path; numbers processed and rejected, counted as the rows pass."""
+    seen = Observation()
+    rows = rows.observe(seen, F.count_if("accepted").alias("processed"), F.count_if(~F.col("accepted")).alias("rejected"))
     rows.filter("accepted").select(relative, "cleaned").write.mode("overwrite").parquet(folder)
-    n = rows.agg(F.count_if("accepted").alias("processed"), F.count_if(~F.col("accepted")).alias("rejected")).first()
-    return n.asDict()
+    return seen.get
 
 
 def write_jsonl(rows: DataFrame, folder: str) -> None:

@@ -51,3 +51,11 @@ def test_stages_of_a_corpus(spark):
     n = corpus.counters(rows).first()
     assert (n["total"], n["accepted"], n["train"] + n["validation"] + n["test"]) == (6, 1, 1)
     assert corpus.manifest(rows, "id").count() == 1
+
+
+def test_documents_in_the_order_of_paths(spark):
+    good = "This passage is long enough to be kept, and it says nothing of note at all. " * 4
+    rows = spark.createDataFrame([("a-b", good), ("a/b", good + "One more sentence."), ("c", good + "One more sentence!")], "path string, t string")
+    rows = rows.withColumn("parts", F.split("path", "/"))
+    out = corpus.staged(rows, id_col="path", raw=F.col("t").cast("binary"), text=F.col("t"), order=["parts"])
+    assert {r["path"]: r["stage"] for r in out.collect()} == {"a/b": "accepted", "a-b": "near_duplicate", "c": "near_duplicate"}

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import metrics, packing, records, splits, tokens
+from quillmill.plans import training
 
 
 def test_conversations(spark):
@@ -70,6 +71,35 @@ def test_row_to_text(spark):
     assert {r["n"]: r["x"] for r in out} == {1: "Question: q\nAnswer: a", 2: "q", 3: "n: 3", 4: "body"}
 
 
+def test_values_are_shown_as_python_does(spark):
+    values = [0.0, -0.0, 1.5, 1e7, 12345678.25, 1.5e15, 1e16, 1.5e22, 1e-3, 1e-4, 1.5e-5, -2.5e-100, 123456789012345.6, 1e100, float("nan"), float("inf"), float("-inf"), None]
+    rows = spark.createDataFrame([(v, v is not None) for v in values], "x double, b boolean")
+    out = rows.select("x", splits.python_text(F.col("x"), "double").alias("s"), splits.python_text(F.col("b"), "boolean").alias("b")).collect()
+    assert [r["s"] for r in out] == [None if v is None else str(v) for v in values]
+    assert [r["b"] for r in out] == [str(v is not None) for v in values]
+    at = spark.sql("select timestamp'2020-01-02 03:04:05' as a, timestamp'2020-01-02 03:04:05.25' as b").select(splits.python_text(F.col("a"), "timestamp"), splits.python_text(F.col("b"), "timestamp")).first()
+    assert tuple(at) == ("2020-01-02 03:04:05", "2020-01-02 03:04:05.250000")
+
+
+def test_training_reads_files(spark, tmp_path):
+    spark.range(40).select(F.concat(F.lit("w"), "id").alias("text")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    texts = training.parquet_texts(spark, str(tmp_path / "p"))
+    assert {r["split"] for r in texts.collect()} <= {"train", "validation", "test"}
+    own = training.parquet_texts(spark, str(tmp_path / "p"), "train")
+    words = sorted(r["text"] for r in texts.collect())
+    encode = lambda t: tokens.word_ids(t, words)
+    out = training.dataset(own, encode, context=4, stride=2).orderBy("k").collect()
+    order = [words.index(f"w{i}") + 4 for i in range(40) if f"w{i}" in {r["text"] for r in own.collect()}]
+    assert [r["input_ids"] for r in out] == [order[i : i + 4] for i in range(0, len(order) - 4, 2)]
+    rest = training.skipped_and_limited(texts, training.ORDER, 5, 3).orderBy("row_index").collect()
+    assert [r["text"] for r in rest] == ["w5", "w6", "w7"]
+    (tmp_path / "x.txt").write_text("w1 w2\nw3\n\nw4")
+    [row] = training.dataset(training.line_texts(spark, str(tmp_path / "x.txt")), encode, kind="seq2seq", context=3).collect()
+    assert row["target"][1] == 3 and row["decoder_input"][0] == 2
+    with pytest.raises(ValueError):
+        training.dataset(own, encode, kind="other")
+
+
 def stream(rows, width, stride, end=None):
     flat = [t for r in rows for t in ([*r, end] if end is not None and r else r)]
     return [flat[s : s + width] for s in range(0, len(flat) - width + 1, stride)]
@@ -125,6 +155,9 @@ def test_bpe_round_trip(spark):
     assert tokens.special_ids(model) == {"<pad>": 0, "<unk>": 1, "<bos>": 2, "<eos>": 3}
     back = texts.select(tokens.decode(model, tokens.encode(model, F.col("t"))).alias("x"), "t").collect()
     assert all(r["x"].replace(" ", "") == r["t"].replace(" ", "") for r in back)
+    nothing = spark.createDataFrame([(None, None)], "t string, i array<int>")
+    assert nothing.select(tokens.decode(model, F.col("i")).alias("x")).first()["x"] is None
+    assert nothing.select(tokens.word_ids(F.col("t"), ["a"]).alias("x")).first()["x"] == []
     with pytest.raises(ValueError):
         tokens.train_bpe(texts, F.col("t"), size=5000)
 
@@ -135,3 +168,4 @@ def test_metrics(spark):
     assert {r["token"] for r in metrics.nucleus(rows, 0.6).collect()} == {1, 2}
     x = spark.range(1).select(metrics.perplexity(F.lit(0.0)).alias("a"), metrics.perplexity(F.lit(99.0), 20.0).alias("b")).first()
     assert x["a"] == 1.0 and round(x["b"]) == 485165195
+    assert metrics.model_size({"a": (2, 3), "b": (4,)}) == {"parameters": 10, "megabytes": 40 / (1 << 20)}

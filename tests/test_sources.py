@@ -42,20 +42,44 @@ def test_corpus_of_files(spark, tmp_path):
     rows = files.corpus_files(spark, str(tmp_path))
     staged = corpus.staged(rows, id_col="relative", raw=F.col("content"), text=F.col("text"), order=["relative"])
     assert {r["relative"]: r["stage"] for r in staged.collect()} == {"first.txt": "accepted", "second.txt": "content_duplicate", "bad.pdf": "failed"}
-    sinks.write_corpus(staged, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/corpus")).count() == 1
     n = sinks.write_cleaned(corpus.preprocess(files.text_files(spark, str(tmp_path)), F.col("text")), str(tmp_path / "cleaned"))
     assert n == {"processed": 2, "rejected": 0}
+    sinks.write_corpus(staged, str(tmp_path / "out"), "relative")
+    [train] = [p.read_text() for p in (tmp_path / "out/corpus").rglob("part-*.txt")]
+    assert train == good.strip() + "\n\n"
+    written = spark.read.json(str(tmp_path / "out/manifest")).first()
+    assert written["source"] == "first.txt" and len(written["simhash"]) == 16
 
 
 def test_objects_of_any_shape():
-    found = lambda o: list(formats.found_in(o))
+    found = lambda o: [(*parts.values(), where) for parts, where in formats.objects(o)]
     assert found({"Question": "q", "answer": "a"}) == [("Answer the question accurately.", "q", "a", "question_answer", "")]
     assert found({"messages": [{"role": "user", "content": "u"}, {"from": "bot", "value": "b"}]})[0][1:3] == ("u", "b")
+    late = [{"role": "bot", "text": "no"}, {"role": "human", "text": "u"}, {"role": "bot", "text": "b"}, {"role": "system", "text": "s"}, {"role": "user", "text": "v"}]
+    assert found({"messages": late})[0][1:3] == ("u\n\nv", "b")
     assert found([{"role": "user", "content": "u"}, {"role": "assistant", "content": "b"}]) == []
     assert found({"conversations": [{"from": "human", "value": "u"}]}) == []
-    deep = {"data": [{"x": {"instruction": "i", "output": "o", "type": "t"}}]}
-    assert found(deep) == [("i", "", "o", "t", "data[0].x")]
+    deep = {"data": [{"x": {"instruction": "i", "output": "o", "type": "t"}}, [{"prompt": " p\n q ", "completion": 3}]]}
+    assert found(deep) == [("i", "", "o", "t", "data[0].x"), ("Answer the question accurately.", "p q", "3", "question_answer", "data[1][0]")]
+
+
+def test_a_file_of_lines_in_several_splits(spark, tmp_path):
+    rows = [json.dumps({"question": f"q{i} " + "x" * 50, "answer": f"a{i}"}) for i in range(2_000)]
+    rows[1_500] = "{bad"
+    rows[700] = ""
+    put(tmp_path, **{"deep/one.JSONL": "\r\n".join(rows), "two.jsonl": "\u2028" + rows[0], "t.csv": 'question,answer\n"q, of\ntwo lines",a\n\nr,b\n'})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        assert spark.read.option("recursiveFileLookup", "true").text(str(tmp_path)).rdd.getNumPartitions() > 3
+        out = formats.parsed_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    one = sorted((r["seq"], r["source_id"], r["input"], r["error"]) for r in out if r["file"] == "deep/one.JSONL" and r["error"] != "member")
+    assert [(i, q.split()[0]) for _, i, q, e in one if not e] == [(str(n + 1), f"q{n}") for n in range(1_500) if n != 700]
+    assert [e for *_, e in one if e] == ["parse_error:JSONDecodeError"]
+    assert [r["source_id"] for r in out if r["file"] == "two.jsonl" and not r["error"]] == ["2"]
+    assert sorted((r["source_id"], r["input"]) for r in out if r["file"] == "t.csv" and not r["error"]) == [("2", "q, oftwo lines"), ("3", "r")]
 
 
 def test_ingest_of_every_format(spark, tmp_path):
@@ -75,7 +99,7 @@ def test_ingest_of_every_format(spark, tmp_path):
         z.writestr("in/h.json", json.dumps(qa(7)))
         z.writestr("skip.parquet", "x")
     pq.write_table(pa.table({"question": [f"row{i}" for i in range(10_002)], "answer": ["x"] * 10_002}), root / "p.parquet")
-    parsed = formats.parsed_records(files.scan(spark, str(root), files.RECORD_SUFFIXES)).collect()
+    parsed = formats.parsed_records(spark, str(root)).collect()
     ids = [r["source_id"] for r in parsed if r["source"] == "p.parquet" and r["error"] is None]
     assert ids[-3:] == ["9999", "0", "1"]
     (root / "p.parquet").unlink()
