@@ -2,7 +2,8 @@
 
 Heuristic labellers vote good, bad or nothing on each document. Their accuracies are unknown
 and they overlap; expectation-maximisation estimates, from how often each pattern of votes
-occurs over all documents, the share of good ones and each labeller's accuracy in either class.
+occurs over all documents, the share of good ones and each labeller's accuracy in either class
+(but for one labeller, TRUSTED, on good documents, which says which class is which).
 The posterior of a pattern is then the target of a linear scorer over hashed n-grams, which
 scores whole texts.
 
@@ -29,11 +30,12 @@ from .toxicity import score_texts
 SAMPLE_CHARS = 4_000_000
 LENGTHS = (1, 2, 3)
 BITS = 18
-ROUNDS = 50
-#: Labellers are built to be precise: each is taken to be right on at least this share of the good
-#: documents it votes on. Junk shows in one way at a time, so that without the bound estimation
-#: would explain a lone bad vote by an inaccurate labeller.
-PRECISE = 0.999
+ROUNDS = 200
+#: The labeller that tells the classes apart: it is taken to be right on this share of the good
+#: documents it votes on. All other accuracies are estimated. Without such an anchor estimation
+#: takes junk that shows in symbols alone, the most frequent kind, for good documents and the
+#: labeller for an inaccurate one, as the labellers do not err independently.
+TRUSTED, PRECISE = "symbols", 0.999
 KEEP = 0.5
 RUN = 5
 
@@ -47,8 +49,7 @@ def _kept(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{pattern}]+", ""))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    words, lines = F.col("_words"), F.col("_lines")
+def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     n, distinct = F.size(words), F.size(F.array_distinct(words))
     runs = F.transform(F.sequence(F.lit(1), n - RUN + 1), lambda i: F.xxhash64(F.slice(words, i, RUN)))
     return {
@@ -67,8 +68,8 @@ def measures(text: Column) -> dict[str, Column]:
 
 
 def labellers() -> dict[str, tuple[Column, Column]]:
-    """Name: (votes bad, votes good) over the measures; neither is an abstention."""
-    m = {name: F.col(f"_m_{name}") for name in measures(F.lit(""))}
+    """Name: (votes bad, votes good) over the measures in a column m; neither is an abstention."""
+    m = {name: F.col(f"m.{name}") for name in measures(*map(F.lit, ("", "", "")))}
     n = m["n"]
     symbols, capitals = _share(m["symbols"], m["chars"]), _share(m["capitals"], m["letters"])
     repeats, line_repeats = _share(n - m["distinct"], n), _share(m["lines"] - m["distinct_lines"], m["lines"])
@@ -90,13 +91,13 @@ LABELLERS = ("length", "symbols", "capitals", "repeats", "lines", "sentences", "
 
 
 def with_votes(docs: DataFrame, text_col: str, out: str = "votes") -> DataFrame:
-    """docs with a string of g, b or - for each labeller. Words, lines and measures are computed once, in steps."""
-    keep = [docs[f"`{c}`"] for c in docs.columns if c != out]
+    """docs with a string of g, b or - for each labeller; a column of that name is replaced. Words, lines and measures are computed once, in steps."""
+    kept = [c for c in docs.columns if c != out]
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    rows = docs.select(*keep, F.array_remove(F.split(text, r"\s+"), "").alias("_words"), F.array_remove(F.split(text, "\n"), "").alias("_lines"))
-    rows = rows.select(*[rows[f"`{c}`"] for c in docs.columns if c != out], *[c.alias(f"_m_{x}") for x, c in measures(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).items()])
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), text.alias("t"), F.array_remove(F.split(text, r"\s+"), "").alias("w"), F.array_remove(F.split(text, "\n"), "").alias("l"))
+    rows = rows.select("row", F.struct(*[c.alias(x) for x, c in measures(F.col("t"), F.col("w"), F.col("l")).items()]).alias("m"))
     vote = F.concat(*[F.when(bad, "b").when(good, "g").otherwise("-") for bad, good in labellers().values()])
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns if c != out], vote.alias(out))
+    return rows.select("row.*", vote.alias(out))
 
 
 def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
@@ -114,7 +115,8 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str,
         share = float(np.clip((n * post).sum() / n.sum(), 0.01, 0.99))
         for z, of in ((1, n * post), (0, n * (1 - post))):
             hit = good if z else bad
-            right[z] = np.clip(((of[:, None] * hit).sum(axis=0) + 1) / ((of[:, None] * (good + bad)).sum(axis=0) + 2), PRECISE if z else 0.001, 0.999)
+            right[z] = np.clip(((of[:, None] * hit).sum(axis=0) + 1) / ((of[:, None] * (good + bad)).sum(axis=0) + 2), 0.001, 0.999)
+        right[1, LABELLERS.index(TRUSTED)] = PRECISE
         odds = math.log(share / (1 - share)) + good @ np.log(right[1] / (1 - right[0])) + bad @ np.log((1 - right[1]) / right[0])
         post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
     return dict(zip(names, post.tolist(), strict=True)), {x: (float(right[1, i]), float(right[0, i])) for i, x in enumerate(LABELLERS) if i < right.shape[1]}
@@ -138,6 +140,7 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return score_texts(marked.select(*kept, table[marked["votes"]].alias("posterior")), model, text_col=text_col)
 
 
-def worth_keeping(score: Column, posterior: Column) -> Column:
-    """The scorer and the labellers decide together; very short texts have few n-grams to score."""
-    return (score + posterior) / 2 >= KEEP
+def worth_keeping(score: Column, posterior: Column, votes: Column) -> Column:
+    """The scorer decides on texts that are long enough (the length labeller's good vote); shorter ones have too few n-grams, so the labellers count as much."""
+    long = F.substring(votes, LABELLERS.index("length") + 1, 1) == "g"
+    return F.when(long, score >= KEEP).otherwise((score + posterior) / 2 >= KEEP)

@@ -114,6 +114,14 @@ def test_mix_schedule_gives_each_copy(spark):
         by[r["doc_id"]] += r["served"]
     assert by == Counter({r["doc_id"]: r["mix"]["taken"] for r in mixed.collect() if r["mix"]["taken"]})
     assert [r["finish"] for r in out] == sorted(r["finish"] for r in out) and max(r["finish"] for r in out) < 1.1
+    # The same rows as the whole sequence by virtual time, cut where the budget is spent: but for the copies being served at the cut.
+    sequence = sorted((r["mix"]["finish"] + e * r["mix"]["source_size"] / r["mix"]["target"], r["doc_id"], e) for r in mixed.collect() for e in range(2))
+    whole = {(d, e) for finish, d, e in sequence if finish <= 1}
+    assert whole <= {(r["doc_id"], r["copy"]) for r in out} and len(out) - len(whole) <= 2
+    words = {r["doc_id"]: r["mix"]["size"] for r in mixed.collect()}
+    assert all(r["served"] == words[r["doc_id"]] for r in out if (r["doc_id"], r["copy"]) in whole)
+    clash = mixing.mix_schedule(mixed.withColumns({c: F.lit(5) for c in ("_c", "_key", "c", "row", "key", "copy")}))
+    assert {"_c", "_key", "c", "row", "key"} <= set(clash.columns) and clash.count() == len(out)
 
 
 def test_mix_of_nothing(spark):
@@ -289,20 +297,34 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.fit_toxicity(rows.limit(0), labels).score(None) < 0.1
 
 
+def test_features_of_long_texts_are_those_of_the_definition(monkeypatch):
+    features, rng = linear.Features((2, 3, 5), 20), random.Random(21)
+    for n in (0, 1, 3, 40, 99, 100, 101, 350):
+        text = sentence(rng, n)[:n] if n else ""
+        whole = set(features.present(text).tolist())
+        with monkeypatch.context() as m:
+            m.setattr(linear, "BLOCK_CHARS", 50)
+            blocks = features.present(text).tolist()
+        assert set(blocks) == whole and len(blocks) == len(whole)
+
+
 def test_features_are_each_given_once():
     f = linear.Features((2, 3), 12)
     x = f.present("abababab")
     assert len(x) == len(set(x.tolist())) and len(f.present(None)) > 0 and sorted(f.present("AB")) == sorted(f.present("ab"))
 
 
-def test_labellers_accuracies_are_estimated():
+@pytest.mark.parametrize("good", [0.8, 0.9, 0.95])
+def test_labellers_accuracies_are_estimated(good):
     rng = random.Random(8)
-    truth = [rng.random() < 0.8 for _ in range(4000)]
-    accuracy, good = (0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.6), 0.995
-    rows = Counter("".join("-" if rng.random() < 0.2 else "g" if (z if rng.random() < (good if z else a) else not z) else "b" for a in accuracy) for z in truth)
+    truth = [rng.random() < 0.8 for _ in range(6000)]
+    accuracy = dict(zip(quality.LABELLERS, (0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.6), strict=True))
+    right_on_good = {x: quality.PRECISE if x == quality.TRUSTED else good for x in quality.LABELLERS}
+    vote = lambda z, x: "-" if rng.random() < 0.2 else "gb"[z ^ (rng.random() < (right_on_good[x] if z else accuracy[x]))]
+    rows = Counter("".join(vote(z, x) for x in quality.LABELLERS) for z in truth)
     post, right = quality.estimate(dict(rows))
-    for name, a in zip(quality.LABELLERS, accuracy, strict=True):
-        assert right[name] == pytest.approx((good, a), abs=0.06)
+    for name, a in accuracy.items():
+        assert right[name] == pytest.approx((right_on_good[name], a), abs=0.05)
     assert post["ggggggg"] > 0.95 > 0.05 > post["bbbbbbb"] and quality.estimate({})[0] == {}
 
 
@@ -310,8 +332,8 @@ def test_quality_keeps_prose_and_not_junk(spark):
     rng = random.Random(9)
     prose = [". ".join(sentence(rng, 9).capitalize() for _ in range(8)) + ".\n" + sentence(rng, 8) + "." for _ in range(80)]
     junk = ["%%% ### " * 30, "BUY NOW!! " * 30, "a | b | c | " * 30] * 8
-    rows = docs(spark, prose + junk + [None, ""]).withColumn("votes", F.lit(0))
-    out = quality.score_quality(rows).withColumn("keep", quality.worth_keeping(F.col("score"), F.col("posterior")))
+    rows = docs(spark, prose + junk + [None, ""]).withColumns({c: F.lit(0) for c in ("votes", "_words", "_lines", "m", "row", "t")})
+    out = quality.score_quality(rows).withColumn("keep", quality.worth_keeping(F.col("score"), F.col("posterior"), F.col("votes")))
     out = {r["doc_id"]: r["keep"] for r in out.collect()}
     assert all(out[i] for i in range(80)) and not any(out[i] for i in range(80, 104))
     assert quality.score_quality(rows.limit(0)).count() == 0
