@@ -106,9 +106,8 @@ def mix_sources(
     row = row.join(offsets, (F.col("_index") == F.col("_oi")) & (F.col("_fine") == F.col("_of")))
     within = Window.partitionBy("_index", "_fine").orderBy("_k", F.col("_doc")[id_col], "_size").rowsBetween(Window.unboundedPreceding, -1)
     row = row.withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_size").over(within), none))
-    whole = F.floor("_target").cast("long")
-    taken = sum((F.greatest(none, F.least(F.col("_size"), whole - F.col("_words") * e - F.col("_start"))) for e in range(repeats)), none)
-    finish = F.when(F.col("_target") > 0, (F.col("_start") + F.col("_size")) / F.col("_target"))
+    finish = F.try_divide(F.col("_start") + F.col("_size"), F.col("_target"))
+    taken = sum((served(F.col("_size"), F.col("_start"), F.col("_words"), F.col("_target"), e) for e in range(repeats)), none)
     row = row.select(
         "_doc",
         F.struct(
@@ -120,23 +119,31 @@ def mix_sources(
     return row.select("_doc.*", "mix")
 
 
+def served(size: Column, start: Column, source_size: Column, target: Column, copy: int) -> Column:
+    """Words of a document's copy that the mix takes: all if its virtual finish time is at most 1, the time at which the budget is spent; of the copy that is
+    being served then, those before; none of later ones."""
+    before = start + source_size * copy
+    finish, begin = F.try_divide(before + size, target), F.try_divide(before, target)
+    rest = F.greatest(F.lit(0).cast("long"), F.floor(target).cast("long") - before)
+    return F.when(target <= 0, 0).when(finish <= 1, size).when(begin < 1, F.least(size, rest)).otherwise(0).cast("long")
+
+
 def mix_schedule(mixed: DataFrame, repeats: int = 2) -> DataFrame:
-    """The mix itself: a row for each copy served, in global order of virtual finish time.
+    """The mix itself: a row for each copy served, in global order of virtual finish time, cut where the budget is spent.
 
     mixed: result of mix_sources(). Adds `copy` (0 up), `served` (words of this copy within the
-    budget: all of them, but for the copy at which a source reaches its target) and `finish`.
+    budget: all of them, but for the copy at which a source reaches its target) and `finish`;
+    columns of these names and `mix` are replaced, others kept. Documents without words, and
+    sources of target 0, are not served; repeated rows are served each for itself; ties in time
+    go by the key; an empty table gives an empty table.
     """
     m = F.col("mix")
-    none = F.lit(0).cast("long")
     copies = [
-        F.struct(
-            F.lit(e).alias("copy"),
-            F.greatest(none, F.least(m["size"], F.floor(m["target"]).cast("long") - m["source_size"] * e - m["start"])).alias("served"),
-            (m["finish"] + e * m["source_size"] / m["target"]).alias("finish"),
-        )
+        F.struct(F.lit(e).alias("copy"), served(m["size"], m["start"], m["source_size"], m["target"], e).alias("served"), (m["finish"] + F.try_divide(e * m["source_size"], m["target"])).alias("finish"))
         for e in range(repeats)
     ]
-    rest = [mixed[f"`{c}`"] for c in mixed.columns if c not in ("mix", "copy", "served", "finish")]
-    out = mixed.select(*rest, m["key"].alias("_key"), F.explode(F.filter(F.array(*copies), lambda c: c["served"] > 0)).alias("_c"))
-    out = out.repartitionByRange("_c.finish", "_key").sortWithinPartitions("_c.finish", "_key")
-    return out.select(*[c for c in out.columns if c not in ("_key", "_c")], "_c.copy", "_c.served", "_c.finish")
+    rest = [c for c in mixed.columns if c not in ("mix", "copy", "served", "finish")]
+    row = F.struct(*[mixed[f"`{c}`"] for c in rest])
+    out = mixed.select(row.alias("row"), m["key"].alias("key"), F.explode(F.filter(F.array(*copies), lambda c: c["served"] > 0)).alias("c"))
+    out = out.repartitionByRange("c.finish", "key").sortWithinPartitions("c.finish", "key")
+    return out.select("row.*", "c.copy", "c.served", "c.finish")
