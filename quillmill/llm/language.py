@@ -5,9 +5,9 @@ character n-grams: the longest length at which any of its n-grams is known decid
 mean log frequency of the known ones. Frequencies are learned from labelled texts.
 
 The model is fitted on a bounded sample: of each language, documents in hash order of their id
-up to about `sample_chars` characters (all of them while a language has fewer); the most
-frequent `max_words` words and `max_ngrams` n-grams of each length are kept. Scoring covers
-whole texts.
+up to about `sample_chars` characters (all of them while a language has fewer); of each language
+the most frequent `max_words` words and `max_ngrams` n-grams of each length are kept, so that a
+language with little text loses none to the others. Scoring covers whole texts.
 
 A text that is null or has no letter is `und` with score 0; so is any text if there is nothing
 to learn from. Ties go to the language that sorts first. Null ids count as the empty text in
@@ -19,8 +19,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import arrow_bounds, bounded_sample
 
 SAMPLE_CHARS = 6_000_000
-MAX_WORDS = 100_000
-MAX_NGRAMS = 30_000
+MAX_WORDS = 40_000
+MAX_NGRAMS = 12_000
 LONGEST = 5
 UNKNOWN = "und"
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -111,14 +113,22 @@ def fit_language_model(
     counts = rows.select(F.col(lang_col).alias("lang"), word.alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     # A row for each word, a column for each language.
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i, x in enumerate(langs)]
-    counts = counts.groupBy("w").agg(F.sum("n").alias("all"), *each).persist()
-    top = {0: counts.orderBy(F.desc("all"), "w").limit(max_words).drop("all").toArrow().to_pandas()} if langs else {}
+    counts = counts.groupBy("w").agg(*each).persist() if langs else None
+
+    def most_frequent(rows: DataFrame, most: int) -> pd.DataFrame:
+        """Of each language the `most` frequent (ties by w), with their counts in all."""
+        own = [rows.filter(f"n{i} > 0").orderBy(F.desc(f"n{i}"), "w").limit(most) for i in range(len(langs))]
+        return reduce(DataFrame.union, own).distinct().toArrow().to_pandas().sort_values("w")
+
+    top = {0: most_frequent(counts, max_words)} if langs else {}
     for n in range(1, LONGEST + 1) if langs else ():
         at = F.sequence(F.lit(1), F.length("w") - n + 1)
         grams = counts.filter(F.length("w") >= n).withColumn("w", F.explode(F.transform(at, lambda i: F.substr("w", i, F.lit(n)))))
-        grams = grams.groupBy("w").agg(F.sum("all").alias("all"), *[F.sum(f"n{i}").cast("int").alias(f"n{i}") for i in range(len(langs))])
-        top[n] = grams.orderBy(F.desc("all"), "w").limit(max_ngrams).drop("all").toArrow().to_pandas()
-    counts.unpersist()
+        grams = grams.groupBy("w").agg(*[F.sum(f"n{i}").cast("int").alias(f"n{i}") for i in range(len(langs))]).persist()
+        top[n] = most_frequent(grams, max_ngrams)
+        grams.unpersist()
+    if counts is not None:
+        counts.unpersist()
 
     tables, blocks, used = {0: {}}, [np.zeros((0, len(langs)), np.float32)], 0
     for n, found in top.items():
