@@ -9,6 +9,7 @@ import numpy as np
 P = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 BLOCK = 256
+BLOCK_CHARS = 200_000
 
 
 @dataclass
@@ -26,22 +27,28 @@ class Features:
         return self.__dict__ | {"_mark": None}
 
     def present(self, text: str | None) -> np.ndarray:
-        """Columns, each once."""
+        """Columns, each once. A long text is hashed in blocks of BLOCK_CHARS, so that memory stays bounded."""
         if self._mark is None:
             self._mark = np.zeros(1 << self.bits, np.int32)
         text = f" {(text or '').lower() if self.lower else text or ''} "
+        blocks = [self._columns(text[at : at + BLOCK_CHARS + max(self.lengths) - 1], at + BLOCK_CHARS >= len(text)) for at in range(0, len(text), BLOCK_CHARS)]
+        return self._once(np.concatenate(blocks)) if len(blocks) > 1 else blocks[0]
+
+    def _columns(self, text: str, last: bool) -> np.ndarray:
+        """Columns of the n-grams that begin in the text's first BLOCK_CHARS characters (if last, anywhere)."""
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        out = []
+        out = [np.empty(0, np.int64)]
         for n in self.lengths:
-            if len(c) >= n:
-                h = np.full(len(c) - n + 1, np.uint64(n))
+            own = c if last else c[: BLOCK_CHARS + n - 1]
+            if len(own) >= n:
+                h = np.full(len(own) - n + 1, np.uint64(n))
                 for i in range(n):
-                    h = h * P + c[i : i + len(h)]
+                    h = h * P + own[i : i + len(h)]
                 h = (h ^ (h >> np.uint64(31))) * MIX
                 out.append((h >> np.uint64(64 - self.bits)).astype(np.int64))
-        if not out:
-            return np.empty(0, np.int64)
-        columns = np.concatenate(out)
+        return self._once(np.concatenate(out))
+
+    def _once(self, columns: np.ndarray) -> np.ndarray:
         place = np.arange(len(columns), dtype=np.int32)
         self._mark[columns] = place
         return columns[self._mark[columns] == place]
