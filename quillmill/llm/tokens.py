@@ -54,7 +54,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, id_col:
     partition, so what an executor leaves that is lost belongs to no row.
     """
     arrow_bounds(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
+    ranks = open(vocabulary, "rb").read()
+    used = {int(line.split()[1]) for line in ranks.splitlines()}
+    if end in used or max(used | {end}) > np.iinfo(np.dtype(dtype)).max:
+        raise ValueError(f"token ids of {vocabulary} include the end id {end}, or do not fit {dtype}")
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +128,13 @@ def document_token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "do
     """id, n_tokens: documents are written to token files in the shared folder, counted there, and the files removed."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    written = cut(write_token_files(docs, folder, vocabulary, id_col=id_col, text_col=text_col))
-    files = cut(written.groupBy("file").agg(F.max("n_bytes").alias("n_bytes")))
-    counts = cut(count_tokens(files, folder))
-    store, root = opened(folder)
-    if store.get_file_info(root).type == fs.FileType.Directory:
-        store.delete_dir(root)
+    try:
+        written = cut(write_token_files(docs, folder, vocabulary, id_col=id_col, text_col=text_col))
+        files = cut(written.groupBy("file").agg(F.max("n_bytes").alias("n_bytes")))
+        counts = cut(count_tokens(files, folder))
+    finally:
+        store, root = opened(folder)
+        if store.get_file_info(root).type == fs.FileType.Directory:
+            store.delete_dir(root)
     ids = written.select("file", F.col("first"), F.posexplode("ids").alias("_i", id_col)).select("file", (F.col("first") + F.col("_i")).alias("ordinal"), id_col)
     return ids.join(counts, ["file", "ordinal"]).select(id_col, "n_tokens")
