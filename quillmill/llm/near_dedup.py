@@ -14,8 +14,9 @@ substituted at random up to an edit similarity of 0.8 leave J = 0.2, so that 96
 about 97 % of such pairs, and nearly all of those at 0.85.
 
 Exact copies (equal words) are one node from the start. In a bucket of equal sketches each node
-is first tried with one hub (the first or the last node), which joins large classes in time
-linear in the bucket. Then every two nodes of a bucket that are not in one class yet are looked
+is first tried with one hub, the first node: with the smallest hub of all its buckets, and then
+with those that are in other classes, which joins large classes in time linear in the
+bucket. Then every two nodes of a bucket that are not in one class yet are looked
 at, without a cap, in blocks of BLOCK nodes; only those that their counts of words allow are
 aligned. A bucket of many unlike texts, such as share a long passage, so takes time quadratic in
 it, though rows only for what may be alike. Classes are the connected components of verified links.
@@ -44,6 +45,7 @@ POINTS = 24
 PICKS = 2
 SIMILARITY = 0.8
 BINS = 128
+BITS = 256
 BLOCK = 1024
 
 GAP = r"[^\p{L}\p{N}]+"
@@ -113,6 +115,21 @@ def word_classes(ids: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((ids.astype(np.int64).view(np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
 
 
+def word_bits(ids: np.ndarray) -> np.ndarray:
+    """BITS bits as longs, of which each word sets one: edit distance is at least the number of bits one text has more."""
+    on = np.zeros(BITS, np.uint8)
+    on[((ids.astype(np.int64).view(np.uint64) >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(on).view(np.int64)
+
+
+def allowed(x: str, y: str, similarity: float) -> Column:
+    """may_be_near() by lengths and word_bits() alone, in columns of the structs x and y: n, bits."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = F.greatest(nx, ny) * F.lit(1 - similarity) + 1e-9
+    more = lambda p, q: sum((F.bit_count(F.col(f"{p}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}.bits")[i]))) for i in range(BITS // 64)), F.lit(0))
+    return (F.abs(nx - ny) <= most) & (more(x, y) <= most) & (more(y, x) <= most)
+
+
 def may_be_near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: float) -> np.ndarray:
     """Whether lengths and counts of words allow the similarity; all arrays are broadcast against each other."""
     d = x.astype(np.int16) - y
@@ -172,12 +189,12 @@ def banded_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, circles: int, points: int, picks: int, k: int) -> DataFrame:
-    """row (a number of its own), id, k1, k2 (null for a null text), n (words), counts (by class) and marks (sketches) of texts with words."""
+    """row (a number of its own), id, k1, k2 (null for a null text), n (words), counts (by class), bits (of words) and marks (sketches) of texts with words."""
     arrow_bounds(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), words(F.col(text_col)).alias("_w"))
     base = base.select("id", text_key(F.col("_t"), F.col("_w")).alias("_key"), F.greatest(F.size("_w"), F.lit(0)).alias("n"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     base = base.select("id", *halves(F.col("_key")), "n", "_h")
-    names = ["id", "k1", "k2", "n", "counts", "marks"]
+    names = ["id", "k1", "k2", "n", "counts", "bits", "marks"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,23 +205,18 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, circles: int, points:
             offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
             values = np.concatenate(marks) if marks else np.empty(0, np.int64)
             counts = pa.array([word_classes(t).tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], counts, pa.ListArray.from_arrays(offsets, pa.array(values))], names=names)
+            bits = pa.array([word_bits(t) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], counts, bits, pa.ListArray.from_arrays(offsets, pa.array(values))], names=names)
 
-    schema = base.select("id", "k1", "k2", "n", F.lit(b"").alias("counts"), F.col("_h").alias("marks")).schema
+    schema = base.select("id", "k1", "k2", "n", F.lit(b"").alias("counts"), F.col("_h").alias("bits"), F.col("_h").alias("marks")).schema
     return base.mapInArrow(sketch, schema).select(F.monotonically_increasing_id().alias("row"), *names)
 
 
-def buckets_of(marked: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """marked: node, marks. Distinct pairs (a, b) of nodes and the hubs of their buckets; crowd: v, node, size of buckets of three and more."""
-    rows = marked.select("node", F.explode("marks").alias("v"))
-    buckets = rows.groupBy("v").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size"))
-    buckets = scratch.keep("buckets", buckets.filter("size > 1"))
-    crowd = scratch.keep("crowd", rows.join(small(buckets.filter("size > 2")), "v"))
-    hub = F.when(F.pmod("v", F.lit(2)) == 0, F.col("a")).otherwise(F.col("b"))
-    pairs = crowd.withColumn("_hub", hub).filter(F.col("node") != F.col("_hub")).select(F.least("node", "_hub").alias("a"), F.greatest("node", "_hub").alias("b"))
-    pairs = scratch.keep("hub_pairs", buckets.filter("size = 2").select("a", "b").union(pairs).distinct())
-    scratch.forget("buckets")
-    return pairs, crowd.select("v", "node", "size")
+def buckets_of(marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """marked: node, n, bits, marks. v, hub (its first node), size, node, it (n, bits): a row for each node of each bucket of several."""
+    rows = marked.select("node", F.struct("n", "bits").alias("it"), F.explode("marks").alias("v"))
+    buckets = rows.groupBy("v").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return scratch.keep("buckets", rows.join(small(scratch.keep("shared", buckets)), "v"))
 
 
 def plausible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
@@ -221,15 +233,25 @@ def plausible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFra
     return both.mapInArrow(hold, pairs.select("a", "b").schema)
 
 
-def other_pairs(crowd: DataFrame, labels: DataFrame, marked: DataFrame, tried: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Distinct plausible (a, b) of nodes of a bucket that are not in one class yet and not tried.
+def hub_pairs(rows: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of nodes and the hubs of their buckets that are not in one class yet, nor tried, and whose words allow the similarity. rows: of classed()."""
+    hubs = rows.filter(F.col("node") == F.col("hub")).select(F.col("v").alias("_v"), F.col("label").alias("_label"), F.col("it").alias("_it"))
+    found = rows.join(hubs, (F.col("v") == F.col("_v")) & (F.col("label") != F.col("_label")) & allowed("it", "_it", similarity))
+    return found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def classed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """buckets with label, the class of the node so far."""
+    return buckets.join(small(labels.select("node", "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def other_pairs(rows: DataFrame, marked: DataFrame, tried: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Distinct plausible (a, b) of nodes of a bucket that are not in one class yet and not tried. rows: of classed().
 
     A bucket of more than BLOCK nodes is dealt out by pairs of blocks, so that many tasks share it.
     """
-    rows = crowd.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = scratch.keep("classed", rows)
     several = rows.groupBy("v").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter(F.col("_x") != F.col("_y")).select("v")
-    rows = rows.join(small(scratch.keep("several", several)), "v").join(marked.select("node", "n", "counts"), "node")
+    rows = rows.drop("it").join(small(scratch.keep("several", several)), "v").join(marked.select("node", "n", "counts"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -256,24 +278,28 @@ def other_pairs(crowd: DataFrame, labels: DataFrame, marked: DataFrame, tried: D
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     met = rows.groupBy(F.pmod(F.xxhash64("v", "i", "j"), F.lit(parts)).alias("_part")).applyInPandas(pairs, "a long, b long")
-    found = scratch.keep("more_pairs", met.distinct().join(tried, ["a", "b"], "left_anti"))
-    scratch.forget("classed", "several", "blocks")
+    found = scratch.keep("other_pairs", met.distinct().join(tried, ["a", "b"], "left_anti"))
+    scratch.forget("several", "blocks")
     return found
 
 
-def verified_pairs(name: str, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs whose words align within the band. nodes: node, k1, k2, id (a document with that key)."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").withColumnRenamed("id", "_need")
-    need = need.withColumn("_only", F.when(F.col("_need").isNull(), F.col("k1")))
-    need = small(scratch.keep(f"{name}_need", need))
+def word_arrays(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """node, w (words as ints) of the nodes of need. nodes: node, k1, k2, id (a document with that key)."""
+    key = F.lower(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
+    need = need.join(nodes, "node").select("node", key.alias("_key"), F.col("id").alias("_need"))
+    need = small(scratch.keep("need", need.withColumn("_only", F.when(F.col("_need").isNull(), F.col("_key")))))
     t = F.col(text_col)
-    key = F.when(F.col(id_col).isNull(), halves(text_key(t, words(t)))[0])  # without an id: by key
-    texts = docs.select(F.col(id_col).alias("_id"), t.alias("_t"), key.alias("_k"))
+    own = F.when(F.col(id_col).isNull(), text_key(t, words(t)))  # without an id: by key
+    texts = docs.select(F.col(id_col).alias("_id"), t.alias("_t"), own.alias("_k"))
     texts = texts.join(need, F.col("_id").eqNullSafe(F.col("_need")) & F.col("_k").eqNullSafe(F.col("_only")))
-    k1, k2 = halves(text_key(F.col("_t"), F.col("_w")))
-    texts = texts.select("node", "k1", "k2", "_t", words(F.col("_t")).alias("_w")).filter((k1 == F.col("k1")) & (k2 == F.col("k2")))
+    # A generator, below which no filter is pushed: a text is split into words once.
+    texts = texts.select("node", "_key", "_t", F.explode(F.array(words(F.col("_t")))).alias("_w")).filter(text_key(F.col("_t"), F.col("_w")) == F.col("_key"))
     texts = texts.select("node", F.transform("_w", lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int")).alias("w")).dropDuplicates(["node"])
-    texts = scratch.keep(f"{name}_texts", texts)
+    return scratch.keep("texts", texts)
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose words align within the band."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +310,7 @@ def verified_pairs(name: str, pairs: DataFrame, nodes: DataFrame, docs: DataFram
                 keep.append(banded_distance(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)) is not None)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = scratch.keep(name, both.mapInArrow(verify, both.select("a", "b").schema))
-    scratch.forget(f"{name}_need", f"{name}_texts")
-    return out
+    return both.mapInArrow(verify, both.select("a", "b").schema)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -329,19 +353,32 @@ def near_duplicate_classes(
     with Scratch(docs.sparkSession) as scratch:
         marked = scratch.keep("marked", sketched(docs, id_col, text_col, circles, points, picks, k))
         nodes = scratch.keep("nodes", marked.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("id")))
-        one = scratch.keep("one", marked.select(F.col("row").alias("node"), "n", "counts", "marks").join(small(nodes.select("node")), "node", "left_semi"))
+        one = scratch.keep("one", marked.select(F.col("row").alias("node"), "n", "counts", "bits", "marks").join(small(nodes.select("node")), "node", "left_semi"))
         rows = scratch.keep("rows", marked.select("id", "k1", "k2", "n"))
         scratch.forget("marked")
-        tried, crowd = buckets_of(one, scratch)
+        buckets = buckets_of(one, scratch)
         sized = one.select("node", "n", "counts")
-        close = scratch.keep("close", plausible(tried, sized, similarity))
-        edges = verified_pairs("edges", close, nodes, docs, id_col, text_col, similarity, scratch)
+        texts = word_arrays(buckets.select("node").distinct(), nodes, docs, id_col, text_col, scratch)
+        # Each node with its smallest hub, then with the hubs of other classes, then whatever is left in a bucket.
+        first = buckets.filter(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a"))
+        tried = scratch.keep("first", first.select("a", "b"))
+        edges = scratch.keep("edges_0", verified_pairs(scratch.keep("pairs_0", plausible(tried, sized, similarity)), texts, similarity))
         labels = components(edges, scratch)
-        more = other_pairs(crowd, labels, sized, tried, similarity, scratch)
-        if more.limit(1).count():
-            labels = components(edges.union(verified_pairs("more_edges", more, nodes, docs, id_col, text_col, similarity, scratch)), scratch)
+        for turn in (1, 2):
+            rows_now = scratch.keep(f"classed_{turn}", classed(buckets, labels))
+            if turn == 1:
+                pairs = scratch.keep("hub_pairs", hub_pairs(rows_now, tried, similarity))
+                tried = tried.union(pairs)
+                pairs = plausible(pairs, sized, similarity)
+            else:
+                pairs = other_pairs(rows_now, sized, tried, similarity, scratch)
+            pairs = scratch.keep(f"pairs_{turn}", pairs)
+            if pairs.limit(1).count():
+                edges = edges.union(scratch.keep(f"edges_{turn}", verified_pairs(pairs, texts, similarity)))
+                labels = components(edges, scratch)
+            scratch.forget(f"classed_{turn}")
         classes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        smallest = classes.groupBy("label").agg(F.min("id").alias("_class"))
+        smallest = small(scratch.keep("smallest", classes.groupBy("label").agg(F.min("id").alias("_class"))))
         classes = scratch.keep("classes", classes.join(smallest, "label").select("k1", "k2", F.col("id").alias("_exact"), "_class"))
         out = rows.join(small(classes), ["k1", "k2"], "left")
         own = lambda c: F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col(c))

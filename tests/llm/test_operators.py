@@ -503,6 +503,8 @@ def test_counts_of_words_never_refuse_a_near_pair(a, b):
     x, y = (near_dedup.word_classes(np.array(t, np.int64)) for t in (a, b))
     if distance(a, b) <= 0.2 * max(len(a), len(b)):
         assert near_dedup.may_be_near(x, y, np.int64(len(a)), np.int64(len(b)), 0.8)
+        p, q = (int.from_bytes(near_dedup.word_bits(np.array(t, np.int64) << 20).tobytes()) for t in (a, b))
+        assert max((p & ~q).bit_count(), (q & ~p).bit_count()) <= 0.2 * max(len(a), len(b))
 
 
 def test_a_pair_in_a_bucket_of_many_unlike_texts_is_found(spark):
