@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which run() writes as Parquet to
 the shared folder and reads again as the next stage's docs. All stages but the last return the
 columns of documents.
+
+In every stage null ids and null or empty texts are rows like others, repeated rows are rows of their
+own (but in near dedup, where they are copies), and an empty table gives an empty one. Extra columns
+are kept, but those that a stage computes under the same name are replaced: `score` and `lang_pred`
+by language id, `spans` by the secret scan, `mix`, `copy`, `served` and `finish` by mixing.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import decontamination, language, mixing, near_dedup, secrets
-from quillmill.llm.common import cut, read_table, shared_dir, small
+from quillmill.llm.common import Scratch, cut, read_table, shared_dir, small
 
 #: A document stays if the language is known and at least this likely.
 LEAST_LIKELY = 0.5
@@ -37,12 +42,12 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays."""
+    """Of each class of near duplicates the document with the smallest id stays; rows without an id stay."""
     return near_dedup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go; texts without words have none."""
     found = decontamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     hit = small(cut(found.filter("n_hit > 0").select(F.col("doc_id").alias("_id"), "_h").distinct()))
     same = docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_h"])
@@ -73,4 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            Scratch(spark).drop(f"{folder}/{i - 1}")  # only the last stage's rows are read again
     return docs
