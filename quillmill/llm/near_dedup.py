@@ -16,10 +16,11 @@ about 97 % of such pairs, and nearly all of those at 0.85.
 Exact copies (equal words) are one node from the start. In a bucket of equal sketches each node
 is first tried with one hub, the first node: with the smallest hub of all its buckets, and then
 with those that are in other classes, which joins large classes in time linear in the
-bucket. Then every two nodes of a bucket that are not in one class yet are looked
-at, without a cap, in blocks of BLOCK nodes; only those that their counts of words allow are
-aligned. A bucket of many unlike texts, such as share a long passage, so takes time quadratic in
-it, though rows only for what may be alike. Classes are the connected components of verified links.
+bucket. Then every two other nodes of a bucket that are not in one class yet are looked
+at, without a cap, in blocks of BLOCK nodes or BLOCK_WORDS words; those that their words allow are
+aligned at once, in the first bucket they share, unless links found on the way have joined them.
+A bucket of many unlike texts, such as share a long passage, so takes time quadratic in
+it, though only links make rows. Classes are the connected components of verified links.
 
 A null text is a class of its own. Texts without any word are compared by their characters
 only. A text of fewer than five words is one k-mer. Repeated rows are exact copies. A class id
@@ -46,7 +47,8 @@ PICKS = 2
 SIMILARITY = 0.8
 BINS = 128
 BITS = 256
-BLOCK = 1024
+BLOCK = 4096
+BLOCK_WORDS = 4_000_000
 
 GAP = r"[^\p{L}\p{N}]+"
 
@@ -99,7 +101,7 @@ def order_sketches(ids: np.ndarray, circles: int = CIRCLES, points: int = POINTS
     places = np.arange(points, dtype=np.uint64) * np.uint64((1 << 64) // points)
     out = []
     for c in range(circles):
-        h = _mixed(grams ^ (np.uint64(c + 1) * STEP))
+        h = _mixed(grams ^ np.uint64((c + 1) * int(STEP) % (1 << 64)))
         order = np.argsort(h)
         at = np.searchsorted(h, places, sorter=order)
         chosen = np.sort(order[(at[:, None] + np.arange(min(picks, len(grams)))) % len(grams)], axis=1)
@@ -245,44 +247,6 @@ def classed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return buckets.join(small(labels.select("node", "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def other_pairs(rows: DataFrame, marked: DataFrame, tried: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Distinct plausible (a, b) of nodes of a bucket that are not in one class yet and not tried. rows: of classed().
-
-    A bucket of more than BLOCK nodes is dealt out by pairs of blocks, so that many tasks share it.
-    """
-    several = rows.groupBy("v").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter(F.col("_x") != F.col("_y")).select("v")
-    rows = rows.drop("it").join(small(scratch.keep("several", several)), "v").join(marked.select("node", "n", "counts"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = scratch.keep("blocks", rows.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "n", "counts"))
-    parts = max(1, rows.count() // 20_000)
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["v", "i", "j"])
-        keys = frame[["v", "i", "j"]].to_numpy()
-        bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(frame)]])
-        counts = np.frombuffer(b"".join(frame["counts"]), np.uint8).reshape(-1, BINS)
-        node, label, n = (frame[c].to_numpy() for c in ("node", "label", "n"))
-        out = [np.empty((0, 2), np.int64)]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            step = max(1, 4_000_000 // ((hi - lo) * BINS))
-            for at in range(lo, hi, step):
-                x = slice(at, min(hi, at + step))
-                y = slice(lo, hi)
-                near = (node[x, None] < node[None, y]) & (label[x, None] != label[None, y])
-                near &= may_be_near(counts[x, None], counts[None, y], n[x, None], n[None, y], similarity)
-                p, q = np.nonzero(near)
-                out.append(np.stack([node[x][p], node[y][q]], axis=1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    met = rows.groupBy(F.pmod(F.xxhash64("v", "i", "j"), F.lit(parts)).alias("_part")).applyInPandas(pairs, "a long, b long")
-    found = scratch.keep("other_pairs", met.distinct().join(tried, ["a", "b"], "left_anti"))
-    scratch.forget("several", "blocks")
-    return found
-
-
 def word_arrays(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """node, w (words as ints) of the nodes of need. nodes: node, k1, k2, id (a document with that key)."""
     key = F.lower(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
@@ -298,6 +262,77 @@ def word_arrays(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return scratch.keep("texts", texts)
 
 
+def other_edges(rows: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of links between nodes of a bucket, other than its hub, that are not in one class yet. rows: of classed(), texts: of word_arrays().
+
+    A large bucket is dealt out by pairs of blocks, so that many tasks share it. Of the links that
+    join the same classes a task gives one, so its rows grow with the nodes, not with their pairs.
+    """
+    rows = rows.filter("node != hub")
+    several = rows.groupBy("v").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_n"), F.sum("it.n").alias("_words"))
+    several = several.filter("_x != _y").select("v", F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    rows = rows.join(small(scratch.keep("several", several)), "v")
+    held = rows.groupBy("node").agg(F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("v", "blocks"))).alias("at"))
+    held = scratch.keep("held", held.join(texts, "node"))
+    copies = F.aggregate("at", F.lit(0).cast("long"), lambda s, x: s + x["blocks"])
+    n, words_in_all = held.agg(F.sum(copies), F.sum(copies * F.size("w"))).first()
+    if not n:
+        return scratch.keep("other_edges", rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    parts = 1 + n // 5_000 + words_in_all // 2_000_000
+    dealt = held.select("node", "label", F.transform("at", lambda x: x["v"]).alias("shared"), "w", F.explode("at").alias("_at")).select("*", "_at.*").drop("_at")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "shared", "w")
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["v", "i", "j"])
+        keys = frame[["v", "i", "j"]].to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(frame)]])
+        own, node, label, shared, w = (frame[c].to_numpy() for c in ("own", "node", "label", "shared", "w"))
+        n = np.array([len(t) for t in w])
+        counts, bits = np.stack([word_classes(t) for t in w]), np.stack([word_bits(t) for t in w]).view(np.uint64)
+        buckets = [frozenset(x.tolist()) for x in shared]
+        joined: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := joined.get(x, x)) != x:
+                joined[x] = joined.get(up, up)
+                x = up
+            return x
+
+        out = []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            v, i, j = keys[lo].tolist()
+            left, right = lo + np.flatnonzero(own[lo:hi] == i), lo + np.flatnonzero(own[lo:hi] == j)
+            step = max(1, 1_000_000 // max(1, len(right)))
+            for at in range(0, len(left), step):
+                for x, y in candidates(left[at : at + step], right, node, label, n, bits, counts, similarity, i == j):
+                    a, b = find(int(label[x])), find(int(label[y]))
+                    if a != b and min(buckets[x] & buckets[y]) == v and banded_distance(w[x], w[y], int((1 - similarity) * max(n[x], n[y]) + 1e-9)) is not None:
+                        joined[max(a, b)] = min(a, b)
+                        out.append((node[x], node[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return scratch.keep("other_edges", dealt.groupBy(F.pmod(F.xxhash64("v", "i", "j"), F.lit(parts)).alias("_part")).applyInPandas(link, "a long, b long"))
+
+
+def candidates(left: np.ndarray, right: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, bits: np.ndarray, counts: np.ndarray, similarity: float, same: bool) -> Iterator[tuple[int, int]]:
+    """The places x in left and y in right of two classes whose lengths, bits and counts of words allow the similarity; each pair once if both sides are the same."""
+    x, y = left[:, None], right[None, :]
+    near = label[x] != label[y]
+    if same:
+        near &= node[x] < node[y]
+    most = (1 - similarity) * np.maximum(n[x], n[y]) + 1e-9
+    near &= np.abs(n[x] - n[y]) <= most
+    for p, q in ((x, y), (y, x)):
+        near &= sum(np.bitwise_count(bits[p, c] & ~bits[q, c]).astype(np.int16) for c in range(BITS // 64)) <= most
+    p, q = np.nonzero(near)
+    p, q = left[p], right[q]
+    for at in range(0, len(p), 50_000):
+        a, b = p[at : at + 50_000], q[at : at + 50_000]
+        keep = may_be_near(counts[a], counts[b], n[a], n[b], similarity)
+        yield from zip(a[keep].tolist(), b[keep].tolist(), strict=True)
+
+
 def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose words align within the band."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
@@ -364,19 +399,16 @@ def near_duplicate_classes(
         tried = scratch.keep("first", first.select("a", "b"))
         edges = scratch.keep("edges_0", verified_pairs(scratch.keep("pairs_0", plausible(tried, sized, similarity)), texts, similarity))
         labels = components(edges, scratch)
-        for turn in (1, 2):
-            rows_now = scratch.keep(f"classed_{turn}", classed(buckets, labels))
-            if turn == 1:
-                pairs = scratch.keep("hub_pairs", hub_pairs(rows_now, tried, similarity))
-                tried = tried.union(pairs)
-                pairs = plausible(pairs, sized, similarity)
-            else:
-                pairs = other_pairs(rows_now, sized, tried, similarity, scratch)
-            pairs = scratch.keep(f"pairs_{turn}", pairs)
-            if pairs.limit(1).count():
-                edges = edges.union(scratch.keep(f"edges_{turn}", verified_pairs(pairs, texts, similarity)))
+        at_hubs = scratch.keep("classed_1", classed(buckets, labels))
+        pairs = scratch.keep("hub_pairs", plausible(hub_pairs(at_hubs, tried, similarity), sized, similarity))
+        scratch.forget("classed_1")
+        more = [lambda: scratch.keep("edges_1", verified_pairs(pairs, texts, similarity))]
+        more.append(lambda: other_edges(scratch.keep("classed_2", classed(buckets, labels)), texts, similarity, scratch))
+        for step in more:
+            found = step()
+            if found.limit(1).count():
+                edges = edges.union(found)
                 labels = components(edges, scratch)
-            scratch.forget(f"classed_{turn}")
         classes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         smallest = small(scratch.keep("smallest", classes.groupBy("label").agg(F.min("id").alias("_class"))))
         classes = scratch.keep("classes", classes.join(smallest, "label").select("k1", "k2", F.col("id").alias("_exact"), "_class"))
