@@ -214,11 +214,19 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, circles: int, points:
     return base.mapInArrow(sketch, schema).select(F.monotonically_increasing_id().alias("row"), *names)
 
 
-def buckets_of(marked: DataFrame, scratch: Scratch) -> DataFrame:
-    """marked: node, n, bits, marks. v, hub (its first node), size, node, it (n, bits): a row for each node of each bucket of several."""
-    rows = marked.select("node", F.struct("n", "bits").alias("it"), F.explode("marks").alias("v"))
-    buckets = rows.groupBy("v").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return scratch.keep("buckets", rows.join(small(scratch.keep("shared", buckets)), "v"))
+def buckets_of(marked: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Buckets: v, hub (its first node), size, node, it (n, bits), a row for each node of each bucket of several; and their nodes: node, it.
+
+    marked: node, n, bits, marks. All sketches go through a join with the shared ones, so nothing but the node goes with them.
+    """
+    rows = marked.select("node", F.explode("marks").alias("v"))
+    shared = scratch.keep("shared", rows.groupBy("v").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    met = scratch.keep("met", rows.join(shared, "v"))
+    within = scratch.keep("within", met.select("node").distinct())
+    its = scratch.keep("its", marked.select("node", F.struct("n", "bits").alias("it")).join(small(within), "node", "left_semi"))
+    buckets = scratch.keep("buckets", met.join(small(its), "node"))
+    scratch.forget("shared", "met", "within")
+    return buckets, its
 
 
 def plausible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
@@ -235,16 +243,20 @@ def plausible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFra
     return both.mapInArrow(hold, pairs.select("a", "b").schema)
 
 
-def hub_pairs(rows: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b) of nodes and the hubs of their buckets that are not in one class yet, nor tried, and whose words allow the similarity. rows: of classed()."""
-    hubs = rows.filter(F.col("node") == F.col("hub")).select(F.col("v").alias("_v"), F.col("label").alias("_label"), F.col("it").alias("_it"))
-    found = rows.join(hubs, (F.col("v") == F.col("_v")) & (F.col("label") != F.col("_label")) & allowed("it", "_it", similarity))
+def hub_pairs(rows: DataFrame, its: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of hubs and nodes of their buckets that are not in one class yet, nor tried, and whose words allow the similarity. rows: of classed()."""
+    apart = rows.filter(F.col("label") != F.col("hub_label")).select("hub", "node", "it")
+    hubs = its.select(F.col("node").alias("_hub"), F.col("it").alias("_it"))
+    found = apart.join(small(hubs), (F.col("hub") == F.col("_hub")) & allowed("it", "_it", similarity))
     return found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def classed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """buckets with label, the class of the node so far."""
-    return buckets.join(small(labels.select("node", "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """buckets with label and hub_label, the classes so far of the node and of the hub."""
+    labels = small(labels.select("node", "label"))
+    hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    out = buckets.join(labels, "node", "left").join(small(hubs), "hub", "left")
+    return out.withColumn("label", F.coalesce("label", "node")).withColumn("hub_label", F.coalesce("hub_label", "hub"))
 
 
 def word_arrays(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -263,13 +275,13 @@ def word_arrays(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 
 
 def other_edges(rows: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b) of links between nodes of a bucket, other than its hub, that are not in one class yet. rows: of classed(), texts: of word_arrays().
+    """(a, b) of links between nodes of a bucket, other than its hub, that are not in one class yet. rows: v, hub, node, n, label; texts: of word_arrays().
 
     A large bucket is dealt out by pairs of blocks, so that many tasks share it. Of the links that
     join the same classes a task gives one, so its rows grow with the nodes, not with their pairs.
     """
     rows = rows.filter("node != hub")
-    several = rows.groupBy("v").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_n"), F.sum("it.n").alias("_words"))
+    several = rows.groupBy("v").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_words"))
     several = several.filter("_x != _y").select("v", F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
     rows = rows.join(small(scratch.keep("several", several)), "v")
     held = rows.groupBy("node").agg(F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("v", "blocks"))).alias("at"))
@@ -391,19 +403,17 @@ def near_duplicate_classes(
         one = scratch.keep("one", marked.select(F.col("row").alias("node"), "n", "counts", "bits", "marks").join(small(nodes.select("node")), "node", "left_semi"))
         rows = scratch.keep("rows", marked.select("id", "k1", "k2", "n"))
         scratch.forget("marked")
-        buckets = buckets_of(one, scratch)
+        buckets, its = buckets_of(one, scratch)
         sized = one.select("node", "n", "counts")
-        texts = word_arrays(buckets.select("node").distinct(), nodes, docs, id_col, text_col, scratch)
+        texts = word_arrays(its.select("node"), nodes, docs, id_col, text_col, scratch)
         # Each node with its smallest hub, then with the hubs of other classes, then whatever is left in a bucket.
         first = buckets.filter(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a"))
         tried = scratch.keep("first", first.select("a", "b"))
         edges = scratch.keep("edges_0", verified_pairs(scratch.keep("pairs_0", plausible(tried, sized, similarity)), texts, similarity))
         labels = components(edges, scratch)
-        at_hubs = scratch.keep("classed_1", classed(buckets, labels))
-        pairs = scratch.keep("hub_pairs", plausible(hub_pairs(at_hubs, tried, similarity), sized, similarity))
-        scratch.forget("classed_1")
+        pairs = scratch.keep("pairs_1", plausible(hub_pairs(classed(buckets, labels), its, tried, similarity), sized, similarity))
         more = [lambda: scratch.keep("edges_1", verified_pairs(pairs, texts, similarity))]
-        more.append(lambda: other_edges(scratch.keep("classed_2", classed(buckets, labels)), texts, similarity, scratch))
+        more.append(lambda: other_edges(scratch.keep("classed", classed(buckets.select("v", "hub", "node", "it.n"), labels).drop("hub_label")), texts, similarity, scratch))
         for step in more:
             found = step()
             if found.limit(1).count():
