@@ -6,8 +6,8 @@ when much text does and in the same order. The hash functions of `circles` permu
 rotated: a permutation's k-mers lie on a circle by their hashes, and each of `points` places on it
 gives the sketch of the k-mers that follow it. Documents that share a sketch are candidates; a
 candidate is verified by banded alignment of the words: edit distance at most (1 - similarity) of
-the longer one's words. Candidates whose counts of words (in BINS classes) differ by more than
-that distance allows are not aligned.
+the longer one's words. Candidates whose counts of words (first in BINS classes, then each word's
+own) differ by more than that distance allows are not aligned.
 
 A sketch of texts whose k-mers have Jaccard similarity J agrees with about J ** picks. Words
 substituted at random up to an edit similarity of 0.8 leave J = 0.2, so that 96 sketches find
@@ -190,6 +190,25 @@ def banded_distance(a: Sequence[int], b: Sequence[int], most: int) -> int | None
     return distance if distance <= most else None
 
 
+def bag(ids: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the words, each with its occurrence number."""
+    return np.sort(kmers(ids, 1))
+
+
+def within_band(a: np.ndarray, b: np.ndarray, similarity: float, bags: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
+    """Whether the edit distance allows the similarity. bags: bag() of both, if they are known.
+
+    Edit distance is at least the number of words of the longer text that the other does not
+    have, wherever they stand, so texts that share too few words need no alignment.
+    """
+    longest = max(len(a), len(b))
+    most = int((1 - similarity) * longest + 1e-9)
+    x, y = bags or (bag(a), bag(b))
+    if longest - len(np.intersect1d(x, y, assume_unique=True)) > most:
+        return False
+    return banded_distance(a, b, most) is not None
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, circles: int, points: int, picks: int, k: int) -> DataFrame:
     """row (a number of its own), id, k1, k2 (null for a null text), n (words), counts (by class), bits (of words) and marks (sketches) of texts with words."""
     arrow_bounds(docs.sparkSession)
@@ -304,6 +323,12 @@ def other_edges(rows: DataFrame, texts: DataFrame, similarity: float, scratch: S
         counts, bits = np.stack([word_classes(t) for t in w]), np.stack([word_bits(t) for t in w]).view(np.uint64)
         buckets = [frozenset(x.tolist()) for x in shared]
         joined: dict[int, int] = {}
+        bags: dict[int, np.ndarray] = {}
+
+        def bag_of(x: int) -> np.ndarray:
+            if (out := bags.get(node[x])) is None:
+                out = bags[node[x]] = bag(w[x])
+            return out
 
         def find(x: int) -> int:
             while (up := joined.get(x, x)) != x:
@@ -319,7 +344,7 @@ def other_edges(rows: DataFrame, texts: DataFrame, similarity: float, scratch: S
             for at in range(0, len(left), step):
                 for x, y in candidates(left[at : at + step], right, node, label, n, bits, counts, similarity, i == j):
                     a, b = find(int(label[x])), find(int(label[y]))
-                    if a != b and min(buckets[x] & buckets[y]) == v and banded_distance(w[x], w[y], int((1 - similarity) * max(n[x], n[y]) + 1e-9)) is not None:
+                    if a != b and min(buckets[x] & buckets[y]) == v and within_band(w[x], w[y], similarity, (bag_of(x), bag_of(y))):
                         joined[max(a, b)] = min(a, b)
                         out.append((node[x], node[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -353,8 +378,7 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Dat
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                keep.append(banded_distance(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)) is not None)
+                keep.append(within_band(x.values.to_numpy(), y.values.to_numpy(), similarity))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(verify, both.select("a", "b").schema)
