@@ -47,7 +47,7 @@ PICKS = 2
 SIMILARITY = 0.8
 BINS = 128
 BITS = 256
-BLOCK = 4096
+BLOCK = 2048
 BLOCK_WORDS = 4_000_000
 
 GAP = r"[^\p{L}\p{N}]+"
@@ -296,20 +296,30 @@ def word_arrays(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 def other_edges(rows: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b) of links between nodes of a bucket, other than its hub, that are not in one class yet. rows: v, hub, node, n, label; texts: of word_arrays().
 
+    Buckets of one hub overlap much where many texts share a passage. They are compared as one, so
+    that a pair is looked at once for a hub, where that is less work than each by itself.
+
     A large bucket is dealt out by pairs of blocks, so that many tasks share it. Of the links that
     join the same classes a task gives one, so its rows grow with the nodes, not with their pairs.
     """
     rows = rows.filter("node != hub")
-    several = rows.groupBy("v").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_words"))
-    several = several.filter("_x != _y").select("v", F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    rows = rows.join(small(scratch.keep("several", several)), "v")
+    several = rows.groupBy("v").agg(F.first("hub").alias("_hub"), F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
+    several = scratch.keep("several", several.filter("_x != _y").drop("_x", "_y"))
+    rows = scratch.keep("met_again", rows.join(small(several.select("v", "size", "words")), "v"))
+    union = scratch.keep("union", rows.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("label").alias("label")))
+    squares = several.groupBy(F.col("_hub").alias("hub")).agg(F.sum(F.col("size") * F.col("size")).alias("squares"))
+    whole = union.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).join(squares, "hub")
+    whole = small(scratch.keep("whole", whole.filter(F.col("size") * F.col("size") <= F.col("squares")).select("hub", "size", "words")))
+    apart = rows.join(small(whole.select("hub")), "hub", "left_anti").select("v", "node", "label", "size", "words")
+    rows = union.join(whole, "hub").select(F.col("hub").alias("v"), "node", "label", "size", "words").unionAll(apart)
+    rows = rows.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int"))
     held = rows.groupBy("node").agg(F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("v", "blocks"))).alias("at"))
     held = scratch.keep("held", held.join(texts, "node"))
     copies = F.aggregate("at", F.lit(0).cast("long"), lambda s, x: s + x["blocks"])
     n, words_in_all = held.agg(F.sum(copies), F.sum(copies * F.size("w"))).first()
     if not n:
         return scratch.keep("other_edges", rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    parts = 1 + n // 5_000 + words_in_all // 2_000_000
+    parts = 1 + n // 2_000 + words_in_all // 1_000_000
     dealt = held.select("node", "label", F.transform("at", lambda x: x["v"]).alias("shared"), "w", F.explode("at").alias("_at")).select("*", "_at.*").drop("_at")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "shared", "w")
