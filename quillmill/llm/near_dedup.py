@@ -88,7 +88,7 @@ def kmers(ids: np.ndarray, k: int = 5) -> np.ndarray:
     new = np.ones(n, bool)
     new[1:] = out[order[1:]] != out[order[:-1]]
     if new.all():
-        return out
+        return _mixed(out)  # as first occurrences below
     place = np.arange(n)
     count = np.empty(n, np.uint64)
     count[order] = place - np.maximum.accumulate(np.where(new, place, 0))

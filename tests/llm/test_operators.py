@@ -449,6 +449,8 @@ def test_banded_distance_equals_the_table(a, b, most):
 def test_kmers_of_an_occurrence_differ():
     ids = np.array([1, 2, 3, 4, 5] * 4)
     assert len(set(near_dedup.kmers(ids).tolist())) == 16 and len(near_dedup.kmers(ids[:3])) == 1
+    once = near_dedup.kmers(ids[:7])
+    assert (once[:3] == near_dedup.kmers(ids)[:3]).all()  # alike in texts with and without repeats
 
 
 def test_classes_equal_brute_force(spark):
