@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language, mixing, near_dedup, quality, secrets, substrings, tokens, toxicity
+from . import ann, decontamination, language, lines, mixing, near_dedup, quality, runs, secrets, substrings, tokens, toxicity
 from .common import crc_bucket, cut, read_table
 
 
@@ -76,6 +76,41 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id, text; of one document in ten, drawn by its id, the words from one on are overwritten by what follows that one, over and over.
+
+    With n words, h = crc32 of the decimal id and g = h // 10, rows with h % 10 = 0 begin at word a = g % n
+    to repeat p = 1 + (n - a) // (3 + g % 8) words. Rows with a null id, or without words, stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("_g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("_w"))
+    n = F.size("_w")
+    chosen = chosen.withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int"))
+    p = (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int")
+    head = F.slice("_w", F.lit(1), F.col("_a"))
+    times = F.ceil((n - F.col("_a")) / p).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, p), times))
+    text = F.array_join(F.slice(F.concat(head, tail), F.lit(1), n), " ")
+    return chosen.select("doc_id", F.when(F.col("_a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_periodic_tails(read_table(spark, sf_dir, "documents")))
+    # Lengths and periods are below 2^31, so their products are exact.
+    above = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda held, r: F.when(held.isNull() | above(r, held), r).otherwise(held))
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(shown, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("b.length") / F.col("b.period")).alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "b.start", "b.length", "b.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +128,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_dedup": op12_line_dedup,
     "pipeline": pipeline,
 }
 
@@ -144,4 +181,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coa
 FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
 """
 
-ORACLES = {"op2_mix_sources": OP2_SQL, "op3_decontaminate": OP3_SQL}
+OP12_SQL = r"""
+WITH l AS (
+  SELECT r, doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+m AS (SELECT k.r, k.doc_id, k.i, k.line, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone FROM k LEFT JOIN c USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+ORACLES = {"op2_mix_sources": OP2_SQL, "op3_decontaminate": OP3_SQL, "op12_line_dedup": OP12_SQL}
