@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language, lines, mixing, near_dedup, quality, runs, secrets, substrings, tokens, toxicity
+from . import alignment, ann, decontamination, language, lines, mixing, near_dedup, quality, runs, secrets, substrings, tokens, toxicity
 from .common import crc_bucket, cut, read_table
 
 
@@ -111,6 +111,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a_file: str = "/opt/tokenizers/byte_bpe_50k.json", b_file: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    out = alignment.align_tokenizers(read_table(spark, sf_dir, "documents"), a_file, b_file, digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,6 +135,7 @@ QUERIES = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_line_dedup": op12_line_dedup,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
 
