@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import text as T
 from ..session import broadcast_if_small, materialized
+from .hamming import near_fingerprints
 
 NEAR_BITS = 12
-BLOCKS, BLOCK_BITS = 4, 16
 
 
-def first_wins(df: DataFrame, key: Column | str, order: list[Column | str], flag: str) -> DataFrame:
-    """df with a boolean column: whether the row is the first of its key."""
-    return df.withColumn(flag, F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)
+def first_wins(df: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:
+    """df (narrow) with a boolean column: whether the row is the first of its key.
+
+    order: columns in which no two rows of a key are equal. Equal keys are summed up before they are
+    shuffled, and only keys that occur again are sent back to the rows, so a key's rows never meet in one task.
+    """
+    kept = materialized(df)
+    return _flagged(kept, kept, key, order, flag)
+
+
+def first_rows(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """The first row of each key of a wide df, which is computed twice; order as for first_wins()."""
+    keyed = df.withColumn("_key", key)
+    narrow = materialized(keyed.select("_key", *order))
+    return _flagged(keyed, narrow, "_key", order, "_is_first").filter("_is_first").drop("_key", "_is_first")
+
+
+def _flagged(rows: DataFrame, narrow: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:
+    place = F.col(f"`{order[0]}`") if len(order) == 1 else F.struct(*order)
+    again = narrow.groupBy(F.col(key).alias("_k")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = broadcast_if_small(materialized(again.drop("_n")))
+    out = rows.join(again, rows[key].eqNullSafe(again["_k"]), "left")
+    return out.select(*[rows[f"`{c}`"] for c in rows.columns], (F.col("_first").isNull() | (place == F.col("_first"))).alias(flag))
 
 
 def duplicate_groups(df: DataFrame, key: Column, member: str) -> DataFrame:
@@ -25,43 +48,38 @@ def duplicate_groups(df: DataFrame, key: Column, member: str) -> DataFrame:
     return groups.filter(F.size("members") > 1)
 
 
+def fingerprint_of(text: str | None, width: int = 3, at_once: int = 1 << 16) -> int:
+    """64 bits, as a signed number; counts of bits are kept by plane, so a text takes memory for `at_once` digests only."""
+    words = (text or "").lower().split()
+    if not words:
+        return -1
+    shingles = max(1, len(words) - width + 1)
+    counts = np.zeros(64, np.int64)
+    for first in range(0, shingles, at_once):
+        digests = b"".join([sha256(" ".join(words[i : i + width]).encode("utf-8", "surrogatepass")).digest()[:8] for i in range(first, min(shingles, first + at_once))])
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts >= shingles).tobytes(), "big", signed=True)
+
+
+@F.arrow_udf(LongType())
+def fingerprint(texts: pa.Array) -> pa.Array:
+    """SimHash of each text: there is no built-in that adds up bits within a row, and with rows of shingles the sums must be shuffled."""
+    return pa.array([fingerprint_of(t) for t in texts.to_pylist()], pa.int64())
+
+
 def simhash(df: DataFrame, id_col: str, text: Column, out: str = "fp") -> DataFrame:
     """id_col and a 64-bit fingerprint: bit i is set if at least half of the shingles' digests have it.
 
-    Two bits share a sum: one counts in its lower half, one in its upper. A text without words
-    has all bits set. Ids should be distinct.
+    Words are lower-cased and parted by white space; shingles have three of them, or are the whole of a shorter
+    text. A text without words has all bits set. Nothing is shuffled.
     """
-    digest = F.conv(F.substring(F.sha2(F.col("_s"), 256), 1, 16), 16, -10).cast("long")
-    rows = df.select(F.col(id_col), T.words(F.lower(text)).alias("_w"))
-    rows = rows.select(id_col, F.explode_outer(T.shingles(F.col("_w"))).alias("_s")).select(id_col, digest.alias("_d"))
-    pair = F.lit((1 << 32) | 1)
-    sums = [F.sum(F.shiftrightunsigned("_d", i).bitwiseAND(pair)).alias(f"_b{i}") for i in range(32)]
-    counted = rows.groupBy(id_col).agg(F.count("_d").alias("_n"), *sums)
-    bits = F.lit(0).cast("long")
-    for i in range(32):
-        low, high = F.col(f"_b{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_b{i}", 32)
-        bits = bits.bitwiseOR(F.when(low * 2 >= F.col("_n"), F.lit(1 << i)).otherwise(F.lit(0).cast("long")))
-        top = 1 << (i + 32)
-        bits = bits.bitwiseOR(F.when(high * 2 >= F.col("_n"), F.lit(top - (1 << 64) if i == 31 else top)).otherwise(F.lit(0).cast("long")))
-    return counted.select(id_col, F.when(F.col("_n") == 0, F.lit(-1).cast("long")).otherwise(bits).alias(out))
+    return df.select(F.col(id_col), fingerprint(text).alias(out))
 
 
 def near_pairs(fps: DataFrame, id_col: str, fp: str = "fp", most: int = NEAR_BITS) -> DataFrame:
-    """(a, b, distance) with a < b and at most `most` differing bits.
-
-    If 64 bits differ in at most 12 places, one of four blocks of 16 differs in at most three:
-    blocks are joined by value with every value within three bits, and the pairs tested whole.
-    Equal fingerprints are one node on the way.
-    """
-    radius = most // BLOCKS
-    masks = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(BLOCK_BITS), r)]
-    distinct = materialized(fps.select(F.col(fp).alias("f")).distinct())
-    block = F.posexplode(F.array(*[F.shiftrightunsigned("f", i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for i in range(BLOCKS)]))
-    keys = distinct.select("f", block.alias("k", "v"))
-    probes = keys.select(F.col("f").alias("g"), "k", "v", F.explode(F.array(*[F.lit(m) for m in masks])).alias("_m"))
-    probes = probes.select("g", "k", F.col("v").bitwiseXOR(F.col("_m")).alias("v"))
-    close = probes.join(broadcast_if_small(materialized(keys)), ["k", "v"]).filter((F.col("f") < F.col("g")) & (T.hamming(F.col("f"), F.col("g")) <= most))
-    close = close.select("f", "g").distinct()
+    """(a, b, distance) with a < b and at most `most` differing bits. Equal fingerprints are one on the way."""
+    distinct = materialized(fps.select(F.col(fp).alias("f")).filter("f is not null").distinct())
+    close = near_fingerprints(distinct, "f", most).select("f", "g")
     near = close.unionByName(close.select(F.col("f").alias("g"), F.col("g").alias("f"))).unionByName(distinct.select("f", F.col("f").alias("g")))
     left = fps.select(F.col(id_col).alias("a"), F.col(fp).alias("f"))
     right = fps.select(F.col(id_col).alias("b"), F.col(fp).alias("g"))

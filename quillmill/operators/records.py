@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .dedup import first_rows
 
 # Role and field names, instructions and categories.
 USER_ROLES = ("user", "human", "customer", "question")
@@ -81,9 +82,10 @@ def question_answers(df: DataFrame, text: Column, *, min_question: int, min_answ
 
 
 def paragraph_chunks(df: DataFrame, text: Column, *, min_chars: int = 120, max_chars: int = 1800) -> DataFrame:
-    """df's columns with chunk: paragraphs of at least min_chars; longer ones packed sentence by sentence up to max_chars."""
+    """df's columns with chunk and chunk_no (of the paragraph, then within it): paragraphs of at least min_chars; longer ones packed sentence by sentence up to max_chars."""
     keep = df.columns
-    out = df.select(*keep, F.explode(F.split(text, rf"(?U)\n{T.SPACE}*\n+")).alias("_b")).withColumn("_b", T.collapse(F.col("_b")))
+    out = df.select(*keep, F.posexplode(F.split(text, rf"(?U)\n{T.SPACE}*\n+")).alias("_p", "_b"))
+    out = T.once(out, "_b", T.collapse(F.col("_b")))
     out = out.filter(F.length("_b") >= min_chars)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
@@ -94,21 +96,26 @@ def paragraph_chunks(df: DataFrame, text: Column, *, min_chars: int = 120, max_c
 
     packed = F.aggregate(F.split("_b", r"(?<=[.!?]) "), start, add, lambda s: F.filter(F.concat(s["done"], F.array(s["cur"])), lambda c: F.length(c) >= min_chars))
     chunks = F.when(F.length("_b") <= max_chars, F.array("_b")).otherwise(packed)
-    return out.select(*keep, F.explode(chunks).alias("chunk"))
+    out = out.select(*keep, "_p", F.posexplode(chunks).alias("_q", "chunk"))
+    return out.select(*keep, "chunk", (F.col("_p") * (1 << 32) + F.col("_q")).alias("chunk_no"))
 
 
 def passage_records(chunks: DataFrame, source: Column) -> DataFrame:
-    """Three audit records for each chunk: one for each passage category."""
+    """Three audit records for each chunk: one for each passage category. A chunk is collapsed once for all."""
+    out = T.once(chunks.withColumn("source", T.collapse(source)), "chunk", T.collapse(F.col("chunk"))).filter("chunk <> ''")
     kinds = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(i).alias("instruction")) for c, i in PASSAGE_CATEGORIES])
-    out = chunks.withColumn("_k", F.explode(kinds)).withColumn("_c", F.col("chunk"))
-    out = builder_record(out, instruction=F.col("_k.instruction"), input=F.col("_c"), response=F.col("_c"), category=F.col("_k.category"), source=source)
-    return out.drop("_k", "_c", "chunk")
+    out = out.withColumn("_k", F.explode(kinds)).withColumns({"instruction": F.col("_k.instruction"), "input": F.col("chunk"), "response": F.col("chunk"), "category": F.col("_k.category")})
+    return out.withColumn("id", T.stable_id(*[F.col(f) for f in ("instruction", "input", "response", "category", "source")])).drop("_k", "chunk")
 
 
 def distinct_records(records: DataFrame, order: list[str]) -> DataFrame:
-    """The first record of each (instruction, input, response), in the order of the columns given."""
-    key = Window.partitionBy("instruction", "input", "response").orderBy(*order)
-    return records.withColumn("_rn", F.row_number().over(key)).filter("_rn = 1").drop("_rn")
+    """The first record of each (instruction, input, response), in the order of the columns given, in which no two are equal.
+
+    Keys are compared by a digest, with the length of each part, so that no two keys read the same.
+    """
+    parts = [F.coalesce(F.col(f), F.lit("")) for f in ("instruction", "input", "response")]
+    key = F.sha2(F.concat_ws("\n", *[F.octet_length(p) for p in parts], *parts), 256)
+    return first_rows(records, key, order)
 
 
 def problem(instruction: Column, input_: Column, response: Column, category: Column, categories: tuple[str, ...]) -> Column:

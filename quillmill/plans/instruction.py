@@ -33,7 +33,7 @@ def build_records(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
         mine = records.builder_record(mine, **{f: F.coalesce(F.col(f"_{f}"), F.lit(CURATED)) if f == "source" else F.col(f"_{f}") for f in FIELDS})
         rows = mine.select(columns).unionByName(rows)
     supervised = materialized(records.distinct_records(rows, ORDER))
-    chunks = records.paragraph_chunks(texts.select("relative", "text"), F.col("text")).select(F.lit(3).alias("rank"), path("relative"), F.monotonically_increasing_id().alias("seq"), F.col("relative").alias("_s"), "chunk")
+    chunks = records.paragraph_chunks(texts.select("relative", "text"), F.col("text")).select(F.lit(3).alias("rank"), path("relative"), F.col("chunk_no").alias("seq"), F.col("relative").alias("_s"), "chunk")
     passages = records.passage_records(chunks, F.col("_s")).select(columns)
     audit = materialized(records.distinct_records(supervised.unionByName(passages), ORDER))
     if records.missing_from(supervised, audit).limit(1).count():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,13 +27,12 @@ def load(spark: SparkSession, path: str, *, categories: tuple[str, ...], duplica
     if bad:
         raise ValueError(f"{path}, line {bad[0]['line_no']}: {bad[0]['_why']}")
     out = parsed.select("line_no", *[T.strip(F.col(f"_r.{f}")).alias(f) for f in ("instruction", "input", "response", "category")], F.col("_r.source").alias("source"))
-    by = Window.partitionBy("instruction", "input", "response").orderBy("line_no")
-    out = out.withColumn("_rn", F.row_number().over(by))
+    first = records.distinct_records(out, ["line_no"])
     if duplicates == "error":
-        again = out.filter("_rn > 1").orderBy("line_no").limit(1).collect()
-        if again:
-            raise ValueError(f"{path}, line {again[0]['line_no']}: duplicate")
-    out = out.filter("_rn = 1").drop("_rn")
+        again = out.join(first.select("line_no"), "line_no", "left_anti").agg(F.min("line_no")).first()[0]
+        if again is not None:
+            raise ValueError(f"{path}, line {again}: duplicate")
+    out = first
     if not out.limit(1).count():
         raise ValueError(f"{path} holds no record")
     return out.filter(F.col("category").isin(*keep)) if keep else out

@@ -1,9 +1,12 @@
 import hashlib
 import random
+from statistics import median
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quillmill.operators import dedup
+from quillmill.operators import dedup, hamming
 from quillmill.plans import corpus
 
 
@@ -25,6 +28,70 @@ def test_simhash_equals_the_definition(spark):
     assert {r["id"]: r["fp"] % (1 << 64) for r in out} == {i: fingerprint(t) for i, t in enumerate(texts)}
 
 
+def test_simhash_shuffles_nothing_and_takes_any_length(spark):
+    texts = [None, " \x1c\u2003", "Ünïcode ÉÉ ŒUVRE words", "a b c " * 50_000, "x" * 200_000]
+    out = dedup.simhash(spark.createDataFrame([(1, t) for t in texts], "id long, t string"), "id", F.col("t"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["fp"] % (1 << 64) for r in out.collect()) == sorted(fingerprint(t or "") for t in texts)
+    assert dedup.fingerprint_of("a b c d e f g", at_once=2) % (1 << 64) == fingerprint("a b c d e f g")
+
+
+def planted(rng, n):
+    """n fingerprints, a quarter of them within 16 bits of another."""
+    fps = [rng.getrandbits(64) for _ in range(n - n // 4)]
+    return fps + [fps[i] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 16))) for i in range(n // 4)]
+
+
+@pytest.mark.parametrize("most", [0, 3, 12, 17])
+def test_tries_find_each_pair_at_one_start(most):
+    values = np.unique(np.array(planted(random.Random(most), 1500), np.uint64))
+    far = np.bitwise_count(values[:, None] ^ values[None, :])
+    wanted = {(int(values[i]), int(values[j])) for i, j in zip(*np.nonzero(far <= most), strict=True)}
+    found = []
+    for start in range(4):
+        own = hamming.turned(values, 16 * start)
+        probe, near, _ = hamming.Trie(own).near(own, hamming.shares(most))
+        f, g = values[probe], hamming.turned(near, 64 - 16 * start)
+        once = hamming.first_start(f, g, most) == start
+        found += zip(f[once].tolist(), g[once].tolist(), strict=True)
+    assert len(found) == len(wanted) and set(found) == wanted
+
+
+def test_few_pairs_are_compared_whole(spark):
+    fps = dedup.simhash(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(4000), "doc_id", F.col("text")).toArrow()["fp"].to_numpy()
+    values = np.unique(fps).view(np.uint64)
+    compared = 0
+    for start in range(4):
+        own = hamming.turned(values, 16 * start)
+        compared += hamming.Trie(own).near(own, hamming.shares(12))[2]
+    assert compared - len(values) * 4 < 0.001 * len(values) * (len(values) - 1)  # of pairs in order, without those of a value with itself
+
+
+def test_near_pairs_in_many_ranges_and_parts(spark, monkeypatch):
+    fps = planted(random.Random(7), 800) + [0, 1, 3, (1 << 64) - 1] * 3
+    monkeypatch.setattr(hamming, "TRIE_SIZE", 20)
+    rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
+    out = dedup.near_pairs(spark.createDataFrame([*rows, (9999, None)], "id long, fp long"), "id").collect()
+    wanted = {(i, j, (fps[i] ^ fps[j]).bit_count()) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 12}
+    assert sorted((r["a"], r["b"], r["distance"]) for r in out) == sorted(wanted)
+
+
+def test_first_of_a_key_that_all_rows_share(spark):
+    rows = spark.range(0, 1_000_000, 1, 8).select("id", F.when(F.col("id") % 1000 < 999, "same").otherwise(F.col("id").cast("string")).alias("key"))
+    out = dedup.first_wins(rows, "key", ["id"], "first")
+    assert {r["id"] for r in out.filter("first").collect()} == {0} | set(range(999, 1_000_000, 1000))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * median(sizes)
+
+
+def test_first_of_null_keys_and_orders_of_two_columns(spark):
+    rows = spark.createDataFrame([(None, ["b"], 1), (None, ["a"], 2), ("k", ["b"], 0), ("k", ["a", "z"], 5), ("k", ["a", "z"], 4), ("u", None, 1)], "key string, path array<string>, n long")
+    out = {(r["key"], r["n"]) for r in dedup.first_wins(rows, "key", ["path", "n"], "first").filter("first").collect()}
+    assert out == {(None, 2), ("k", 4), ("u", 1)}
+    assert {(r["key"], r["n"]) for r in dedup.first_rows(rows.withColumn("text", F.lit("x")), F.col("key"), ["path", "n"]).collect()} == out
+    assert dedup.first_wins(rows.limit(0), "key", ["n"], "first").count() == 0
+
+
 def test_near_pairs_equal_brute_force(spark):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(30)]
