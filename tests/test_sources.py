@@ -52,7 +52,7 @@ def test_corpus_of_files(spark, tmp_path):
 
 
 def test_objects_of_any_shape():
-    found = lambda o: [(*parts.values(), where) for parts, where in formats.objects(o)]
+    found = lambda o: [(*parts.values(), where) for parts, where in formats.parts_in(o)]
     assert found({"Question": "q", "answer": "a"}) == [("Answer the question accurately.", "q", "a", "question_answer", "")]
     assert found({"messages": [{"role": "user", "content": "u"}, {"from": "bot", "value": "b"}]})[0][1:3] == ("u", "b")
     late = [{"role": "bot", "text": "no"}, {"role": "human", "text": "u"}, {"role": "bot", "text": "b"}, {"role": "system", "text": "s"}, {"role": "user", "text": "v"}]
