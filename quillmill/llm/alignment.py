@@ -2,8 +2,8 @@
 
 Each Arrow batch is encoded by both tokenizers. Their tokens are two tables of byte intervals in DuckDB,
 all documents of a batch on one line of offsets: an ASOF join gives each A token the B token under its last
-byte, a window sum over those that end together numbers the groups, and a range join puts the B tokens into
-the groups' intervals. Links (A and B tokens that end together) are counted by document and by batch there;
+byte, a window sum over those that end together numbers the groups, and a range join puts the B tokens that are
+no group with one A token into the groups' intervals. Links (A and B tokens that end together) are counted by document and by batch there;
 the batches' counts are merged in Spark, and each document's links meet the merged counts.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,20 @@ PIECE_SPACE = "▁"
 
 ALIGN = """
 CREATE OR REPLACE TEMP TABLE ends AS
-  SELECT a.doc, a.pos, a.id, a.start, a.stop, b.id AS b_id, a.stop = b.stop AS together,
+  SELECT a.doc, a.pos, a.id, a.start, a.stop, b.id AS b_id, b.pos AS b_pos, a.stop = b.stop AS together, a.stop = b.stop AND a.start = b.start AS alone,
          sum((a.stop = b.stop)::INT) OVER (ORDER BY a.pos ROWS UNBOUNDED PRECEDING) - (a.stop = b.stop)::INT AS grp
   FROM a ASOF JOIN b ON a.stop <= b.stop;
 CREATE OR REPLACE TEMP TABLE groups AS
-  SELECT grp, any_value(doc) AS doc, min(start) AS first, max(stop) AS last FROM ends GROUP BY grp
+  SELECT grp, any_value(doc) AS doc, min(start) AS first, max(stop) AS last, bool_or(alone) AS alone FROM ends GROUP BY grp
+"""
+A_GROUPS = "SELECT pos, grp FROM ends"
+#: Where an A and a B token have the same interval they are a group; only the other B tokens are joined by range.
+B_GROUPS = """
+SELECT b_pos AS pos, grp FROM ends WHERE alone
+UNION ALL
+SELECT b.pos, g.grp FROM b ANTI JOIN (SELECT b_pos FROM ends WHERE alone) e ON b.pos = e.b_pos
+JOIN (SELECT * FROM groups WHERE NOT alone) g ON b.start >= g.first AND b.stop <= g.last
 """
-A_GROUPS = "SELECT grp FROM ends ORDER BY pos"
-B_GROUPS = "SELECT g.grp FROM b JOIN groups g ON b.start >= g.first AND b.stop <= g.last ORDER BY b.pos"
 BY_DOCUMENT = """
 SELECT doc, list(pair) AS pairs, list(n) AS n
 FROM (SELECT doc, id::BIGINT << 32 | b_id AS pair, count(*)::INT AS n FROM ends WHERE together GROUP BY ALL) GROUP BY doc ORDER BY doc
@@ -107,10 +114,19 @@ def database():
 
 def intervals(ids: list[list[int]], lengths: np.ndarray) -> pa.Table:
     """doc, pos, id, start, stop of all tokens; documents follow each other on one line of bytes."""
-    flat = np.concatenate([np.array(x, np.int32) for x in ids])
-    stop = np.cumsum(lengths[flat])
-    doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
-    return pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int32), "id": flat, "start": stop - lengths[flat], "stop": stop})
+    counts = [len(x) for x in ids]
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(counts))
+    sizes = lengths[flat]
+    stop = np.cumsum(sizes)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    return pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int32), "id": flat, "start": stop - sizes, "stop": stop})
+
+
+def by_place(db, query: str, n: int) -> np.ndarray:
+    """The group of each of n tokens, by its place."""
+    found, out = db.execute(query).fetchnumpy(), np.empty(n, np.int64)
+    out[found["pos"]] = found["grp"]
+    return out
 
 
 def group_texts(a: pa.Table, a_groups: np.ndarray, b: pa.Table, b_groups: np.ndarray, a_shown: list[str], b_shown: list[str], n_docs: int) -> list[str]:
@@ -159,9 +175,8 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, *, id_col: str, text_col:
                 db.register("a", a)
                 db.register("b", b)
                 db.execute(ALIGN)
-                column = lambda query, name: db.execute(query).fetchnumpy()[name].astype(np.int64)
-                a_groups, b_groups = column(A_GROUPS, "grp"), column(B_GROUPS, "grp")
-                each = column("SELECT doc FROM groups", "doc")
+                a_groups, b_groups = by_place(db, A_GROUPS, a.num_rows), by_place(db, B_GROUPS, b.num_rows)
+                each = db.execute("SELECT doc FROM groups").fetchnumpy()["doc"]
                 figures[:, places] = [np.bincount(d, minlength=len(some)) for d in (a["doc"].to_numpy(), b["doc"].to_numpy(), each)]
                 for i, shown in zip(places, group_texts(a, a_groups, b, b_groups, a_shown, b_shown, len(some)), strict=True):
                     groups[i] = shown
