@@ -178,6 +178,13 @@ ORACLES = {
         count(*) FILTER (stage = 'content_duplicate') AS content_duplicate, count(*) FILTER (stage = 'near_duplicate') AS near_duplicate, count(*) FILTER (stage = 'accepted') AS accepted,
         {", ".join(f"count(*) FILTER (stage = 'accepted' AND {split_of('content_sha256')} = '{s}') AS {s}" for s in ("train", "validation", "test"))} FROM t""",
     "conversation_records": f"WITH {CONV.strip()} SELECT * FROM rec",
+    "json_records": f"WITH {CONV.strip()} SELECT conv_id, w AS source_id, instruction, input, response, category FROM rec, (VALUES ('data[0]'), ('nested.copies[0][0]')) v(w)",
+    "jsonl_records": f"""SELECT page_id // 100 AS file, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) AS source_id, 'Answer the question accurately.' AS instruction,
+        {collapse("url")} AS input, {collapse("html")} AS response, 'question_answer' AS category FROM pages""",
+    "csv_records": """SELECT p_partkey // 500 AS file, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) + 1 AS source_id, 'Answer the question accurately.' AS instruction,
+        replace(p_name, ' ', '"') AS input, p_brand AS response, 'question_answer' AS category FROM part""",
+    "text_questions": """SELECT c_custkey // 1000 AS file, 2 * row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) - 1 AS source_id, 'Answer the question accurately.' AS instruction,
+        'Who is ' || c_name || '?' AS input, 'A customer of the segment ' || c_mktsegment || ' it is.' AS response, 'question_answer' AS category FROM customer""",
     "conversation_dedup": f"WITH {CONV.strip()}, k AS (SELECT conv_id, id, sha256(lower(instruction) || chr(10) || lower(input) || chr(10) || lower(response)) AS key FROM rec) SELECT *, row_number() OVER (PARTITION BY key ORDER BY conv_id) = 1 AS is_first FROM k",
     "record_splits": f"WITH {CONV.strip()} SELECT conv_id, id, {split_of('id')} AS split FROM rec",
     "shard_assign": f"WITH {CONV.strip()}, s AS (SELECT conv_id, {split_of('id')} AS split FROM rec) SELECT *, (row_number() OVER (PARTITION BY split ORDER BY conv_id) - 1) // 20 AS shard FROM s",

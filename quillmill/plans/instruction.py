@@ -9,8 +9,10 @@ from ..operators import records, splits
 from ..session import materialized
 from ..sources import files, formats, jsonl, sinks
 
+# The curated file's name, the instruction of its questions, what a manifest says of the records.
 CURATED = "healthcare_examples.jsonl"
 MEDQUAD_INSTRUCTION = "Answer the medical question using the provided biomedical source answer."
+PROVENANCE = "SFT records come from curated healthcare examples, explicit source Q/A, or answer-bearing MedQuAD Q/A. Passage-copy records are retained only in the in-memory audit corpus."
 FIELDS = ("instruction", "input", "response", "category", "source")
 ORDER = ["rank", "order", "seq", "category"]
 
@@ -51,8 +53,17 @@ def build(spark: SparkSession, root: str, folder: str, least: int = 100) -> dict
     supervised.select(*FIELDS, "id").join(placed, "id").write.mode("overwrite").partitionBy("split").json(f"{folder}/records")
     written = spark.read.json(f"{folder}/records")
     sinks.verify(written, n)
-    by = lambda df, c: {r[c]: r["count"] for r in df.groupBy(c).count().collect()}
-    counts = {"supervised": n, "audit": audit.count(), "categories": by(supervised, "category"), "splits": by(written, "split")}
-    counts["passage_copies"] = audit.filter(~F.col("category").isin(*records.SFT_CATEGORIES)).count()
+    kinds = F.array(F.struct(F.lit("split").alias("k"), F.col("split").alias("v")), F.struct(F.lit("category").alias("k"), F.col("category").alias("v")))
+    found = {(r["k"], r["v"]): r["count"] for r in written.select(F.explode(kinds).alias("_")).groupBy("_.k", "_.v").count().collect()}
+    counts = {
+        "source_root": root,
+        "supervised_total": n,
+        **{s: found.get(("split", s), 0) for s in ("train", "validation", "test")},
+        "supervised_categories": {v: c for (k, v), c in sorted(found.items()) if k == "category"},
+        "passage_copy_total": audit.filter(~F.col("category").isin(*records.SFT_CATEGORIES)).count(),
+        "sft_categories": sorted(records.SFT_CATEGORIES),
+        "duplicate_examples": 0,
+        "provenance": PROVENANCE,
+    }
     sinks.write_manifest(spark, f"{folder}/manifest.json", counts)
     return counts

@@ -10,7 +10,9 @@ from .functions import text as T
 from .oracles import ORACLES
 from .operators import dedup, metrics, packing, records, splits, tokens
 from .plans import corpus, training
-from .session import materialized, table
+from .session import materialized, shared_folder, table
+from .sources import formats, objects
+from .sources.lines import numbered_lines
 
 CONTEXT, STRIDE, SHARD = 256, 128, 50_000
 
@@ -99,6 +101,51 @@ def conversation_records(spark, sf_dir):
     return _conversations(spark, sf_dir)
 
 
+def json_records(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    told = F.struct(F.transform("t", lambda t: F.struct(t["role"], t["text"].alias("content"))).alias("messages"))
+    again = F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("from"), t["text"].alias("value"))).alias("messages"))
+    json = F.to_json(F.struct("conv_id", F.array(told).alias("data"), F.struct(F.array(F.array(again)).alias("copies")).alias("nested")))
+    found, _ = objects.walk(turns.select("conv_id", F.lit("").alias("where"), json.alias("json")), ["conv_id"])
+    return found.select("conv_id", F.col("where").alias("source_id"), "instruction", T.collapse(F.col("input")).alias("input"), "response", "category")
+
+
+def _read_back(spark, rows, suffix, read):
+    """What read() finds in files of lines: rows have file (a number), at (their order in it) and line."""
+    with shared_folder(spark, "files") as folder:
+        rows.repartition("file").sortWithinPartitions("file", "at").select("file", "line").write.partitionBy("file").text(folder)
+        lines = numbered_lines(spark, folder, every_boundary=True)
+        name = F.concat(F.regexp_extract("path", r"file=(\d+)", 1), F.lit(suffix)).alias("relative")
+        found = materialized(read(lines.select(name, "block", "line_no", "line")))
+    file = F.regexp_extract("file", r"\d+", 0).cast("long").alias("file")
+    return found.select(file, F.regexp_extract("source_id", r"^\d+", 0).cast("long").alias("source_id"), "instruction", "input", "response", "category")
+
+
+def jsonl_records(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    line = F.to_json(F.struct(F.struct(F.col("url").alias("Query"), F.col("html").alias("completion")).alias("page")))
+    return _read_back(spark, pages.select(F.floor(F.col("page_id") / 100).alias("file"), F.col("page_id").alias("at"), line.alias("line")), ".jsonl", formats.json_lines)
+
+
+def csv_records(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 500).alias("file"), F.col("p_partkey").alias("at"), "p_name", "p_brand")
+    # A field over several lines, with quotes at their ends.
+    line = F.concat(F.lit('"'), F.replace("p_name", F.lit(" "), F.lit('""\n')), F.lit('",'), F.col("p_brand"))
+    rows = part.select("file", "at", line.alias("line"))
+    header = part.select("file").distinct().select("file", F.lit(-1).alias("at"), F.lit("Question,Answer").alias("line"))
+    return _read_back(spark, rows.unionByName(header), ".csv", formats.tables)
+
+
+def text_questions(spark, sf_dir):
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), line.alias("line")) for i, line in enumerate((
+            F.concat(F.lit("Who is "), F.col("c_name"), F.lit("?")), F.lit("  "), F.concat(F.lit("A customer of the segment "), F.col("c_mktsegment"), F.lit(" it is."))
+        ))
+    ])).alias("l"))
+    rows = asked.select(F.floor(F.col("c_custkey") / 1000).alias("file"), (F.col("c_custkey") * 3 + F.col("l.i")).alias("at"), "l.line")
+    return _read_back(spark, rows, ".txt", formats.question_lines)
+
+
 def conversation_dedup(spark, sf_dir):
     rows = _conversations(spark, sf_dir).withColumn("key", T.dedup_key(F.col("instruction"), F.col("input"), F.col("response")))
     return dedup.first_wins(rows.select("conv_id", "id", "key"), "key", ["conv_id"], "is_first")
@@ -278,7 +325,7 @@ def nucleus_filter(spark, sf_dir):
 
 
 NAMES = """clean_documents quality_flags quality_summary byte_dedup content_dedup dup_groups split_counts split_assign
-source_inventory simhash near_dup_pairs corpus_build corpus_stats conversation_records conversation_dedup record_splits
+source_inventory simhash near_dup_pairs corpus_build corpus_stats conversation_records json_records jsonl_records csv_records text_questions conversation_dedup record_splits
 shard_assign qa_pairs_loose qa_pairs_strict paragraph_chunks passage_audit row_to_text row_split count_split ratio_split
 prompt_format word_frequency token_stats token_summary rejections category_counts lm_windows split_lm_windows
 seq2seq_windows parquet_lm_windows parquet_seq2seq_windows masked_loss sft_mask pad_batch perplexity top_k_filter nucleus_filter""".split()

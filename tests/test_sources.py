@@ -105,7 +105,19 @@ def test_ingest_of_every_format(spark, tmp_path):
     (root / "p.parquet").unlink()
     model = tokens.train_bpe(spark.createDataFrame([("a b c Instruction Input Response",)], "t string"), F.col("t"), size=40, min_count=1, exact=False)
     counts = ingest.build(spark, str(root), str(tmp_path / "out"), model, context=200, shard_size=3)
-    assert counts["accepted_records"] == 7 and counts["files_or_members"] == 8
+    assert counts["accepted_records"] == 7 and counts["files_or_archive_members_seen"] == 8 and counts["unique_records_seen"] == 7
+    assert list(counts) == """source_root tokenizer context_length files_or_archive_members_seen unique_records_seen accepted_records train_records validation_records test_records
+        rejections length_distribution average_tokens unk_token_rate source_counts split_policy deduplication""".split()
+    assert json.loads((tmp_path / "out/manifest.json").read_text()) == counts and sum(counts["source_counts"].values()) == 7
+    assert sum(counts[f"{s}_records"] for s in ("train", "validation", "test")) == 7 and counts["length_distribution"] == {"within_context": 7}
+    faults = {r["reason"]: r for r in spark.read.json(str(tmp_path / "out/rejections")).collect()}
+    assert faults.keys() == {"parse_error:JSONDecodeError", "parse_error:ParseError", "file_error:BadZipFile"}
+    assert faults["parse_error:JSONDecodeError"]["source"] == "b.jsonl" and "property name" in faults["parse_error:JSONDecodeError"]["error"]
+    tight = ingest.build(spark, str(root), str(tmp_path / "tight"), model, context=2, tokenizer="t.json")
+    assert (tight["accepted_records"], tight["unique_records_seen"], tight["rejections"]["over_context"], tight["tokenizer"]) == (0, 7, 7, "t.json")
+    over = spark.read.json(str(tmp_path / "tight/rejections")).filter("reason = 'over_context'").collect()
+    assert all(set(r["record"].asDict()) == {*records.V2_FIELDS, "id"} and set(r["stats"].asDict()) == set(ingest.STATS) for r in over)
+    assert sum(r["stats"]["total_tokens"] for r in over) / 7 == tight["average_tokens"]
     assert counts["rejections"] == {"duplicate": 1, "parse_error:JSONDecodeError": 1, "parse_error:ParseError": 1, "file_error:BadZipFile": 1}
     written = spark.read.json(str(tmp_path / "out/records"))
     assert written.count() == 7 and {"prompt_tokens", "unk_tokens", "split", "shard"} <= set(written.columns)
@@ -142,7 +154,8 @@ def test_instruction_builder(spark, tmp_path):
     assert sorted(r["category"] for r in supervised.collect()) == ["medquad_qa", "source_qa", "terminology"]
     assert audit.count() == 6
     counts = instruction.build(spark, str(root), str(tmp_path / "out"), least=3)
-    assert counts["splits"] == {"train": 1, "validation": 1, "test": 1} and counts["passage_copies"] == 3
+    assert [counts[s] for s in ("train", "validation", "test")] == [1, 1, 1] and counts["passage_copy_total"] == 3
+    assert counts["supervised_total"] == 3 and counts["supervised_categories"] == {"medquad_qa": 1, "source_qa": 1, "terminology": 1}
     with pytest.raises(ValueError):
         instruction.build(spark, str(root), str(tmp_path / "out2"), least=100)
 
