@@ -15,10 +15,19 @@ from pyspark.sql.types import StringType
 SPACE = r"[\s\x1C-\x1F]"
 
 
+#: Characters that composition never changes, whatever stands beside them: ASCII, the letters of Latin, Greek and Cyrillic that
+#: have no compatibility form, dashes and quotation marks, and CJK ideographs.
+STABLE = r"[\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u0391-\u03A1\u03A3-\u03CE\u0400-\u0481\u2010\u2012-\u2016\u2018-\u201F\u2020-\u2022\u20AC\u4E00-\u9FFF]"
+
+
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; there is no such built-in."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition; there is no such built-in. Texts of STABLE characters alone are not sent to Python."""
+    return F.coalesce(_composed(F.when(~text.rlike(rf"\A{STABLE}*+\z"), text)), text)
 
 
 def line_endings(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """SQL for the queries: DuckDB, over the same tables.
 
 The tables hold no control characters, carriage returns or compatibility characters, so the
-SQL leaves those steps of cleaning out; tests cover them.
+SQL leaves those steps of cleaning out; composed_documents puts such characters in before cleaning,
+and its SQL what must be left of them.
 """
 
 from __future__ import annotations
@@ -163,6 +164,7 @@ DRAW = "SELECT o_custkey AS row, o_orderkey AS token, round(o_totalprice::DOUBLE
 
 ORACLES = {
     "clean_documents": f"WITH {CLEANED} SELECT doc_id, text, length(text)::INT AS characters FROM c",
+    "composed_documents": f"SELECT doc_id, {clean("replace(text, 'a', 'ä')")} AS text FROM documents",
     "quality_flags": f"WITH {CLEANED}, {FLAGS} SELECT doc_id, not_empty, long_enough, mostly_text, no_long_run, accepted FROM q",
     "quality_summary": f"WITH {CLEANED}, {FLAGS} SELECT source, count(*) FILTER (accepted) AS processed, count(*) FILTER (NOT accepted) AS rejected FROM q GROUP BY source",
     "byte_dedup": "SELECT doc_id, sha256(text) AS digest, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 AS is_first FROM documents",

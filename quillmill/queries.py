@@ -29,6 +29,14 @@ def clean_documents(spark, sf_dir):
     return _cleaned(spark, sf_dir).select("doc_id", "text", F.length("text").alias("characters"))
 
 
+def composed_documents(spark, sf_dir):
+    """Documents with decomposed and full-width letters, carriage returns and invisible characters put in, cleaned."""
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in "the")
+    text = F.replace(F.replace(F.col("text"), F.lit("the"), F.lit(wide)), F.lit("a"), F.lit("a\u0308"))
+    text = F.replace(text, F.lit("\n"), F.lit("\u200b\r\n\x00"))
+    return T.once(_docs(spark, sf_dir).select("doc_id", "text"), "text", T.clean_text(text)).select("doc_id", "text")
+
+
 def quality_flags(spark, sf_dir):
     t = F.col("text")
     return _cleaned(spark, sf_dir).select(
@@ -324,7 +332,7 @@ def nucleus_filter(spark, sf_dir):
     return metrics.nucleus(_logits(spark, sf_dir), 0.7).select("row", "token", "logit")
 
 
-NAMES = """clean_documents quality_flags quality_summary byte_dedup content_dedup dup_groups split_counts split_assign
+NAMES = """clean_documents composed_documents quality_flags quality_summary byte_dedup content_dedup dup_groups split_counts split_assign
 source_inventory simhash near_dup_pairs corpus_build corpus_stats conversation_records json_records jsonl_records csv_records text_questions conversation_dedup record_splits
 shard_assign qa_pairs_loose qa_pairs_strict paragraph_chunks passage_audit row_to_text row_split count_split ratio_split
 prompt_format word_frequency token_stats token_summary rejections category_counts lm_windows split_lm_windows

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 import unicodedata
 
 import pytest
@@ -75,3 +76,15 @@ def test_shingles_and_blocks(spark):
 def test_nfkc_is_python_s(spark):
     raw = "ẛ̣ ① 가"
     assert one(spark, raw, T.nfkc(F.col("t"))) == unicodedata.normalize("NFKC", raw)
+
+
+def test_stable_characters_are_not_sent_to_python(spark):
+    stable = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and re.fullmatch(T.STABLE, chr(c))]
+    assert len(stable) > 20_000 and not any(unicodedata.combining(c) or unicodedata.category(c)[0] == "M" or 0x1100 <= ord(c) < 0x1200 for c in stable)
+    assert all(unicodedata.normalize("NFKC", c) == c for c in stable)
+    given = ["plain", "naïve – “fine”", "e\u0301", "ﬁ", None, "x\u00a0y", "Ⅷ ½", "가", "ಠ", "漢字", "Привет, Ωμέγα", "a" * 100_000 + "ｂ"]
+    rows = spark.createDataFrame(list(enumerate(given)), "id long, t string")
+    out = {r["id"]: r["t"] for r in rows.select("id", T.nfkc(F.col("t")).alias("t")).collect()}
+    assert out == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(given)}
+    plan = rows.select(T.nfkc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") > 0 and "RLIKE" in plan
