@@ -9,6 +9,7 @@ the batches' counts are merged in Spark, and each document's links meet the merg
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_bounds, cut, small
+from .common import Scratch, arrow_bounds, cut, give_back_memory, small
 from .tokens import PATTERN
 
 #: Bytes of text that DuckDB has at once; a longer text is alone there.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000
 #: Merged pairs of ids that are broadcast at most (beside the bound of bytes that small() has).
 BROADCAST_PAIRS = 2_000_000
 #: Texts of these characters alone go to the faster of two encoders of vocabulary A, which agree on them.
@@ -64,6 +65,7 @@ class ByteLevel:
     """Vocabulary A: its token bytes by id, and ids of texts, each with a space put before it."""
 
     def __init__(self, content: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work; threads of its own would each keep memory
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -98,18 +100,23 @@ class Pieces:
 
 
 @cache
-def loaded(kind: type, content: bytes) -> tuple[object, np.ndarray, list[str]]:
-    """A vocabulary, its tokens' lengths, and its ids as text followed by each of three separators; built once in a worker."""
+def loaded(kind: type, content: bytes) -> tuple[object, np.ndarray]:
+    """A vocabulary and its tokens' lengths; built once in a worker."""
     made = kind(content)
-    lengths = np.array([len(b) for b in made.token_bytes], np.int64)
-    return made, lengths, [f"{i}{mark}" for mark in (",", "|", ";") for i in range(len(lengths))]
+    return made, np.array([len(b) for b in made.token_bytes], np.int64)
+
+
+@cache
+def ids_shown(n_a: int, n_b: int) -> np.ndarray:
+    """The ids of both vocabularies as text, followed by each of three separators."""
+    return np.array([f"{i}{mark}" for n in (n_a, n_b) for mark in (",", "|", ";") for i in range(n)], object)
 
 
 @cache
 def database():
     import duckdb
 
-    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "allocator_flush_threshold": "1MB"})
 
 
 def intervals(ids: list[list[int]], lengths: np.ndarray) -> pa.Table:
@@ -129,18 +136,18 @@ def by_place(db, query: str, n: int) -> np.ndarray:
     return out
 
 
-def group_texts(a: pa.Table, a_groups: np.ndarray, b: pa.Table, b_groups: np.ndarray, a_shown: list[str], b_shown: list[str], n_docs: int) -> list[str]:
-    """Each document's groups as `a1,a2|b1;a3|b2,b3`."""
+def group_texts(a: pa.Table, a_groups: np.ndarray, b: pa.Table, b_groups: np.ndarray, shown: np.ndarray, n_a: int, n_b: int, n_docs: int) -> list[str]:
+    """Each document's groups as `a1,a2|b1;a3|b2,b3`. shown: the n_a ids of A, then the n_b of B, with each of the separators."""
     n = int(a_groups[-1]) + 1
     a_before = np.concatenate([[0], np.cumsum(np.bincount(a_groups, minlength=n))])
     b_before = np.concatenate([[0], np.cumsum(np.bincount(b_groups, minlength=n))])
     codes = np.empty(len(a_groups) + len(b_groups), np.int64)
     last = lambda groups: np.append(groups[1:] != groups[:-1], True)
-    codes[np.arange(len(a_groups)) + b_before[a_groups]] = a["id"].to_numpy() + last(a_groups) * (len(a_shown) // 3)
-    codes[np.arange(len(b_groups)) + a_before[b_groups + 1]] = len(a_shown) + b["id"].to_numpy() + last(b_groups) * 2 * (len(b_shown) // 3)
-    shown, parts = a_shown + b_shown, codes.tolist()
+    codes[np.arange(len(a_groups)) + b_before[a_groups]] = a["id"].to_numpy() + last(a_groups) * n_a
+    codes[np.arange(len(b_groups)) + a_before[b_groups + 1]] = 3 * n_a + b["id"].to_numpy() + last(b_groups) * 2 * n_b
+    parts = shown[codes]
     ends = np.cumsum(np.bincount(a["doc"].to_numpy(), minlength=n_docs) + np.bincount(b["doc"].to_numpy(), minlength=n_docs)).tolist()
-    return ["".join([shown[c] for c in parts[x:y]])[:-1] for x, y in zip([0, *ends], ends, strict=False)]
+    return ["".join(parts[x:y].tolist())[:-1] for x, y in zip([0, *ends], ends, strict=False)]
 
 
 def aligned(docs: DataFrame, a_file: str, b_file: str, *, id_col: str, text_col: str) -> DataFrame:
@@ -152,7 +159,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, *, id_col: str, text_col:
 
     def slices(texts: list[str | None]) -> Iterator[list[tuple[int, list[int], list[int]]]]:
         """Places and token ids of texts that both tokenizers give back byte by byte."""
-        (a, *_), (b, *_) = loaded(ByteLevel, a_content.value), loaded(Pieces, b_content.value)
+        (a, _), (b, _) = loaded(ByteLevel, a_content.value), loaded(Pieces, b_content.value)
         filled = [i for i, t in enumerate(texts) if t]
         while filled:
             size, n = 0, 0
@@ -164,7 +171,9 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, *, id_col: str, text_col:
             yield [(i, x, y) for i, t, x, y in each if b"".join([a.token_bytes[k] for k in x]) == b"".join([b.token_bytes[k] for k in y]) == f" {t}".encode()]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (_, a_lengths, a_shown), (_, b_lengths, b_shown), db = loaded(ByteLevel, a_content.value), loaded(Pieces, b_content.value), database()
+        (_, a_lengths), (_, b_lengths), db = loaded(ByteLevel, a_content.value), loaded(Pieces, b_content.value), database()
+        n_a, n_b = len(a_lengths), len(b_lengths)
+        give_back_memory()
         for batch in batches:
             figures, groups, links = np.zeros((3, batch.num_rows), np.int64), [""] * batch.num_rows, [([], [])] * batch.num_rows
             for some in slices(batch.column(2).to_pylist()):
@@ -178,14 +187,15 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, *, id_col: str, text_col:
                 a_groups, b_groups = by_place(db, A_GROUPS, a.num_rows), by_place(db, B_GROUPS, b.num_rows)
                 each = db.execute("SELECT doc FROM groups").fetchnumpy()["doc"]
                 figures[:, places] = [np.bincount(d, minlength=len(some)) for d in (a["doc"].to_numpy(), b["doc"].to_numpy(), each)]
-                for i, shown in zip(places, group_texts(a, a_groups, b, b_groups, a_shown, b_shown, len(some)), strict=True):
+                for i, shown in zip(places, group_texts(a, a_groups, b, b_groups, ids_shown(n_a, n_b), n_a, n_b, len(some)), strict=True):
                     groups[i] = shown
                 for doc, pairs, n in db.execute(BY_DOCUMENT).fetchall():
                     links[places[doc]] = pairs, n
                 merged = db.execute(BY_BATCH).fetchnumpy()
                 yield rows([None], batch.column(1).slice(0, 0), np.zeros((3, 1), np.int64), [""], [(merged["pair"], merged["n"])])
+                db.execute("DROP TABLE ends; DROP TABLE groups")
             yield rows(batch.column(0), batch.column(1), figures, groups, links)
-        db.execute("DROP TABLE IF EXISTS ends; DROP TABLE IF EXISTS groups")
+            give_back_memory()
 
     def rows(row, ids: pa.Array, figures: np.ndarray, groups: list[str], links: list) -> pa.RecordBatch:
         ids = ids if len(ids) == len(groups) else pa.nulls(len(groups), ids.type)

@@ -70,7 +70,7 @@ def rows(df):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.characters(max_codepoint=0x2FF) | st.characters() | st.sampled_from(" \n\t'’—–“”…"), max_size=60))
+@given(st.text(st.characters(max_codepoint=0x2FF) | st.characters(exclude_categories=["Cs"]) | st.sampled_from(" \n\t'’—–“”…"), max_size=60))
 def test_both_encoders_of_vocabulary_a_agree(text):
     a = both()
     plain, other = a.plain.encode_ordinary(f" {text}"), a.tokenizer.encode(f" {text}", add_special_tokens=False).ids
