@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from types import TracebackType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,19 +118,29 @@ def arrow_bounds(spark: SparkSession) -> None:
         spark.conf.set(key, "512")
 
 
-def draw(id_: Column) -> Column:
-    """A number from 0 up to 1 from the hash of an id, the same in every run."""
-    return F.pmod(F.xxhash64(F.coalesce(id_.cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+def give_back_memory() -> None:
+    """Return what a worker's libraries have freed to the system, and let their threads share one heap from now on, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim") and hasattr(libc, "mallopt"):
+        libc.mallopt(-8, 1)  # M_ARENA_MAX
+        libc.malloc_trim(0)
+
+
+def draw(id_: Column, text: Column) -> Column:
+    """A number from 0 up to 1 from the hash of an id and a text, the same in every run; rows without an id are drawn by their texts."""
+    return F.pmod(F.xxhash64(F.coalesce(id_.cast("string"), F.lit("")), F.coalesce(text, F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
 
 
 def bounded_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, chars: int) -> DataFrame:
     """Rows to fit a classifier on: of each label about `chars` characters, all while it has fewer.
 
-    Rows are drawn by the hash of their id, so that reruns draw the same. Labels are few: a row
-    for each comes to the driver.
+    Rows are drawn by the hash of their id and text, so that reruns draw the same, and rows without an id
+    like others. Of rows alike in id, text and label one counts, so however often a row is repeated, the sample is
+    bounded. Labels are few: a row for each comes to the driver.
     """
     sums = docs.groupBy(label_col).agg(F.sum(F.length(text_col)).alias("n")).filter("n > 0").collect()
     if not sums:
         return docs.filter(F.lit(False))
     shares = F.create_map(*[F.lit(x) for r in sums for x in (r[0], min(1.0, chars / r[1]))])
-    return docs.filter(draw(F.col(id_col)) < shares[F.col(label_col)])
+    return docs.filter(draw(F.col(id_col), F.col(text_col)) < shares[F.col(label_col)]).dropDuplicates([id_col, text_col, label_col])

@@ -6,7 +6,7 @@ word is its prefix: document words are joined with the prefix words, the second-
 and the positional and length bounds are tested at once, and then the window is compared
 with the document's words at that place. Only DataFrame functions are used.
 
-The window table is broadcast only after it was counted (BROADCAST_ROWS); a larger one is
+The window table is broadcast only after its rows and bytes were found within bounds; a larger one is
 joined by shuffle: document words meet it by word, and the candidates meet the documents
 again by row key for verification.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, fits
 
 #: Between words, once A-Z is lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,7 +52,7 @@ def with_prefix(wins: DataFrame, docs: DataFrame, text_col: str, broadcast_rows:
     """
     vocab = cut(wins.select(F.explode("win").alias("_v")).distinct())
     seen = docs.select(F.explode_outer(words(F.col(text_col))).alias("_v"))
-    if vocab.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits(vocab, broadcast_rows):
         seen = seen.join(F.broadcast(vocab), "_v", "left_semi").groupBy("_v").agg(F.count(F.lit(1)).alias("_f"))
     else:
         seen = seen.groupBy("_v").agg(F.count(F.lit(1)).alias("_f")).join(vocab, "_v", "left_semi")
@@ -83,7 +83,6 @@ def find_contamination(
     """
     wins = cut(windows(items, item_col, item_text_col, width))
     pref = cut(with_prefix(wins, docs, text_col, broadcast_rows))
-    fits = pref.limit(broadcast_rows + 1).count() <= broadcast_rows
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), words(F.col(text_col)).alias("_w"))
 
     at = F.col("_p") - F.col("off")
@@ -92,7 +91,7 @@ def find_contamination(
     same = F.slice("_w", at + 1, F.col("len")) == F.col("win")
     span = F.when(F.col("win").isNotNull(), F.struct(at.cast("int").alias("first"), (at + F.col("len")).cast("int").alias("last")))
     head = F.coalesce(F.col("_p"), F.lit(0)) == 0
-    if fits:
+    if fits(pref, broadcast_rows):
         # The word at place 0 stands for the document itself, so one pass gives clean documents too.
         rows = base.select("_id", "_h", "_w", F.size("_w").alias("_n"), F.posexplode_outer("_w").alias("_p", "_v"))
         rows = rows.join(F.broadcast(pref), (F.col("_v") == F.col("tok")) & bounds & second & same, "left")

@@ -4,14 +4,16 @@ A known word adds, for each language, its log frequency there. An unseen word is
 character n-grams: the longest length at which any of its n-grams is known decides, with the
 mean log frequency of the known ones. Frequencies are learned from labelled texts.
 
-The model is fitted on a bounded sample: of each language, documents in hash order of their id
-up to about `sample_chars` characters (all of them while a language has fewer); of each language
-the most frequent `max_words` words and `max_ngrams` n-grams of each length are kept, so that a
-language with little text loses none to the others. Scoring covers whole texts.
+The model is fitted on a bounded sample: of each language, documents drawn by the hash of their id
+and text up to about `sample_chars` characters (all of them while a language has fewer). A word, or an
+n-gram among those of its length, is known if in some language it occurs twice at least, and makes
+up at least one in ONE_IN of what that language has; so a language with little text loses none to the
+others. Scoring covers whole texts.
 
 A text that is null or has no letter is `und` with score 0; so is any text if there is nothing
-to learn from. Ties go to the language that sorts first. Null ids count as the empty text in
-sampling; repeated rows are scored each for itself; extra columns are kept.
+to learn from. Ties go to the language that sorts first. Rows without an id are sampled like others;
+rows alike in id, text and language count once in the model, and are scored each for itself; extra
+columns are kept.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_bounds, bounded_sample
 
 SAMPLE_CHARS = 6_000_000
-MAX_WORDS = 40_000
-MAX_NGRAMS = 12_000
+LEAST_TIMES, ONE_IN = 2, 200_000
 LONGEST = 5
 UNKNOWN = "und"
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -103,8 +104,6 @@ def fit_language_model(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_chars: int = SAMPLE_CHARS,
-    max_words: int = MAX_WORDS,
-    max_ngrams: int = MAX_NGRAMS,
 ) -> LanguageModel:
     rows = labelled.select(id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = bounded_sample(rows, id_col, text_col, lang_col, sample_chars)
@@ -115,17 +114,18 @@ def fit_language_model(
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i, x in enumerate(langs)]
     counts = counts.groupBy("w").agg(*each).persist() if langs else None
 
-    def most_frequent(rows: DataFrame, most: int) -> pd.DataFrame:
-        """Of each language the `most` frequent (ties by w), with their counts in all."""
-        own = [rows.filter(f"n{i} > 0").orderBy(F.desc(f"n{i}"), "w").limit(most) for i in range(len(langs))]
-        return reduce(DataFrame.union, own).distinct().toArrow().to_pandas().sort_values("w")
+    def known(rows: DataFrame) -> pd.DataFrame:
+        """Those that are frequent enough in some language, with their counts in all."""
+        totals = rows.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]).first()
+        enough = [F.col(f"n{i}") >= max(LEAST_TIMES, -(-(totals[i] or 0) // ONE_IN)) for i in range(len(langs))]
+        return rows.filter(reduce(Column.__or__, enough)).toArrow().to_pandas().sort_values("w")
 
-    top = {0: most_frequent(counts, max_words)} if langs else {}
+    top = {0: known(counts)} if langs else {}
     for n in range(1, LONGEST + 1) if langs else ():
         at = F.sequence(F.lit(1), F.length("w") - n + 1)
         grams = counts.filter(F.length("w") >= n).withColumn("w", F.explode(F.transform(at, lambda i: F.substr("w", i, F.lit(n)))))
         grams = grams.groupBy("w").agg(*[F.sum(f"n{i}").cast("int").alias(f"n{i}") for i in range(len(langs))]).persist()
-        top[n] = most_frequent(grams, max_ngrams)
+        top[n] = known(grams)
         grams.unpersist()
     if counts is not None:
         counts.unpersist()

@@ -464,14 +464,16 @@ def near_duplicate_classes(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without near duplicates: of each class the document with the smallest id stays.
 
-    Rows that repeat an id are one document: one of them stays. Rows without an id stay.
+    Rows that repeat an id are one document: one of them stays. Rows without an id stay. Null and empty texts
+    are in no class but by their id. An empty table gives an empty one; all columns are kept, whatever their names.
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
     ids = cut(classes.groupBy(id_col).agg(F.min("class_id").alias("_class"), F.count(F.lit(1)).alias("_n")))
-    drop = ids.filter(F.col(id_col) != F.col("_class")).select(F.col(id_col).alias("_gone"))
-    out = docs.join(small(drop), docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+    drop = small(ids.filter(F.col(id_col) != F.col("_class")).select(F.col(id_col).alias("_gone")))
+    out = docs.join(drop, docs[f"`{id_col}`"] == drop["_gone"], "left_anti")
     repeated = ids.filter(F.col(id_col).isNotNull() & (F.col("_n") > 1)).select(F.col(id_col).alias("_again"))
     if repeated.limit(1).count():
-        again = out[f"`{id_col}`"] == F.col("_again")
-        out = out.join(small(repeated), again, "left_anti").unionByName(out.join(small(repeated), again, "left_semi").dropDuplicates([id_col]))
+        repeated = small(repeated)
+        again = out[f"`{id_col}`"] == repeated["_again"]
+        out = out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates([id_col]))
     return out.select(*[out[f"`{c}`"] for c in docs.columns])

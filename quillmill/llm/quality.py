@@ -130,17 +130,16 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     table = F.create_map(*[F.lit(x) for p in post.items() for x in p]) if post else F.create_map(F.lit(""), F.lit(0.5))
     chars = {good: sum(r["chars"] for r in counted if (post[r["votes"]] >= 0.5) == good) for good in (True, False)}
     shares = {good: min(1.0, sample_chars / max(1, n)) for good, n in chars.items()}
-    # Drawn by id first, so that votes are counted for few rows.
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("draw", draw(F.col("id")))
+    # Drawn by id and text first, so that votes are counted for few rows; a row that is repeated counts once.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("draw", draw(F.col("id"), F.col("text")))
     rows = with_votes(rows.filter(F.col("draw") < max(shares.values())), "text").withColumn("post", table[F.col("votes")])
     rows = rows.filter(F.col("draw") < F.when(F.col("post") >= 0.5, shares[True]).otherwise(shares[False]))
-    rows = rows.select("id", "text", "post").toArrow().to_pandas().sort_values(["id", "text"])
+    rows = rows.select("id", "text", "post").dropDuplicates(["id", "text"]).toArrow().to_pandas().sort_values(["id", "text"])
     model = linear.fit(linear.Features(LENGTHS, BITS, lower=False), rows["text"].tolist(), rows["post"].to_numpy(np.float64), naive_bayes=False)
     kept = [marked[f"`{c}`"] for c in marked.columns if c not in ("posterior", "score")]
     return score_texts(marked.select(*kept, table[marked["votes"]].alias("posterior")), model, text_col=text_col)
 
 
-def worth_keeping(score: Column, posterior: Column, votes: Column) -> Column:
-    """The scorer decides on texts that are long enough (the length labeller's good vote); shorter ones have too few n-grams, so the labellers count as much."""
-    long = F.substring(votes, LABELLERS.index("length") + 1, 1) == "g"
-    return F.when(long, score >= KEEP).otherwise((score + posterior) / 2 >= KEEP)
+def worth_keeping(score: Column) -> Column:
+    """The scorer decides, on texts of every length."""
+    return score >= KEEP

@@ -64,7 +64,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/t
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "score", quality.worth_keeping(F.col("score"), F.col("posterior"), F.col("votes")).alias("keep"), "posterior", "votes")
+    return out.select("doc_id", "score", quality.worth_keeping(F.col("score")).alias("keep"), "posterior", "votes")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,7 +333,7 @@ def test_quality_keeps_prose_and_not_junk(spark):
     prose = [". ".join(sentence(rng, 9).capitalize() for _ in range(8)) + ".\n" + sentence(rng, 8) + "." for _ in range(80)]
     junk = ["%%% ### " * 30, "BUY NOW!! " * 30, "a | b | c | " * 30] * 8
     rows = docs(spark, prose + junk + [None, ""]).withColumns({c: F.lit(0) for c in ("votes", "_words", "_lines", "m", "row", "t")})
-    out = quality.score_quality(rows).withColumn("keep", quality.worth_keeping(F.col("score"), F.col("posterior"), F.col("votes")))
+    out = quality.score_quality(rows).withColumn("keep", quality.worth_keeping(F.col("score")))
     out = {r["doc_id"]: r["keep"] for r in out.collect()}
     assert all(out[i] for i in range(80)) and not any(out[i] for i in range(80, 104))
     assert quality.score_quality(rows.limit(0)).count() == 0
