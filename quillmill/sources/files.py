@@ -151,9 +151,3 @@ def resolved(paths: dict[tuple[str, str], str], dataset: str, split: str, spark:
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         raise FileNotFoundError(f"{path} of {dataset}, {split} is missing")
     return path
-
-
-def numbered_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a Parquet file with row_index, their place in it."""
-    rows = spark.read.parquet(path)
-    return rows.select("*", F.col("_metadata.row_index").alias("row_index"))

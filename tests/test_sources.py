@@ -51,6 +51,17 @@ def test_corpus_of_files(spark, tmp_path):
     assert written["source"] == "first.txt" and len(written["simhash"]) == 16
 
 
+def test_a_tree_of_cleaned_texts(spark, tmp_path):
+    good = "Some sentence that is not of interest to anyone who might read it here. " * 4
+    put(tmp_path / "in", **{"a/b/one.txt": good + "  x\r\n", "a/two.MD": good, "a/short.txt": "no", "three é.text": "\uff41 " + good})
+    rows = corpus.preprocess(files.text_files(spark, str(tmp_path / "in")), F.col("text"))
+    for _ in range(2):  # again over what is there
+        assert sinks.write_tree(rows, str(tmp_path / "out")) == {"processed": 3, "rejected": 1}
+    tree = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert tree == {"a/b/one.txt": good + "x", "a/two.MD": good.strip(), "three é.text": "a " + good.strip()}
+    assert sinks.write_tree(rows.limit(0), str(tmp_path / "none")) == {"processed": 0, "rejected": 0}
+
+
 def test_objects_of_any_shape():
     found = lambda o: [(*parts.values(), where) for parts, where in formats.parts_in(o)]
     assert found({"Question": "q", "answer": "a"}) == [("Answer the question accurately.", "q", "a", "question_answer", "")]
