@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,20 @@ def perplexity(mean: Column, most: float | None = None) -> Column:
     return F.exp(mean if most is None else F.least(mean, F.lit(most)))
 
 
+def evaluation(windows: DataFrame, loss: Callable[[Column, Column], Column], *, batch_size: int = 8, most: float | None = None) -> DataFrame:
+    """One row: sequences, batches, loss and perplexity of a model over windows (k, input_ids, target_ids).
+
+    loss: the model's mean loss of a window, of its inputs and targets. Windows make batches by their
+    numbers; each batch counts once, as the last may be smaller. Fails if there is no window.
+    """
+    if batch_size <= 0:
+        raise ValueError("the batch size must be positive")
+    batches = windows.groupBy(F.floor(F.col("k") / batch_size).alias("_b")).agg(F.avg(loss(F.col("input_ids"), F.col("target_ids"))).alias("_l"), F.count(F.lit(1)).alias("_n"))
+    out = batches.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("sequences"), F.count(F.lit(1)).alias("batches"), mean_loss(F.col("_l")).alias("loss"))
+    none = F.raise_error(F.lit("the split has no complete sequence")).cast("long")
+    return out.select(F.when(F.col("sequences") > 0, F.col("sequences")).otherwise(none).alias("sequences"), "batches", "loss", perplexity(F.col("loss"), most).alias("perplexity"))
+
+
 def top_k(logits: DataFrame, k: int, row: str = "row", logit: str = "logit") -> DataFrame:
     """Candidates at least as likely as the k-th of their row; ties stay."""
     by = Window.partitionBy(row).orderBy(F.desc(logit))
