@@ -104,7 +104,9 @@ def mix_sources(
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"), docs[f"`{source_col}`"].alias("_s"), size.alias("_size"), key.alias("_k"))
     row = bucketed(row, F.col("_s"), "_k")
     row = row.join(offsets, (F.col("_index") == F.col("_oi")) & (F.col("_fine") == F.col("_of")))
-    within = Window.partitionBy("_index", "_fine").orderBy("_k", F.col("_doc")[id_col], "_size").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of one id and size go by their texts, so that reruns agree whatever the partitions.
+    tie = F.xxhash64(F.col("_doc")["text"]) if "text" in docs.columns else none
+    within = Window.partitionBy("_index", "_fine").orderBy("_k", F.col("_doc")[id_col], "_size", tie).rowsBetween(Window.unboundedPreceding, -1)
     row = row.withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_size").over(within), none))
     finish = F.try_divide(F.col("_start") + F.col("_size"), F.col("_target"))
     taken = sum((served(F.col("_size"), F.col("_start"), F.col("_words"), F.col("_target"), e) for e in range(repeats)), none)

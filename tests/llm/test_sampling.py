@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import language, near_dedup, quality, toxicity
+from quillmill.llm import language, mixing, near_dedup, quality, toxicity
 from quillmill.llm.common import bounded_sample
 
 from .test_operators import docs, sentence
@@ -66,3 +66,14 @@ def test_one_of_a_class_stays_whatever_the_columns_are_called(spark):
     rows = rows.unionByName(rows.filter("doc_id = 2"))
     out = near_dedup.keep_one(rows)
     assert out.columns == rows.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 2, 3, 4]
+
+
+def test_mix_agrees_without_ids_and_with_repeated_ones(spark):
+    rng = random.Random(6)
+    texts = [sentence(rng, 10) for _ in range(90)]
+    rows = docs(spark, texts, source={i: "ab"[i % 2] for i in range(90)}).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(5)))
+    mixes = []
+    for n in (1, 3, 7):
+        out = mixing.mix_schedule(mixing.mix_sources(rows.repartition(n, F.rand(n)))).collect()
+        mixes.append(sorted((r["text"], r["copy"], r["served"]) for r in out))
+    assert mixes[0] == mixes[1] == mixes[2]
