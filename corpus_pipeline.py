@@ -73,11 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. If a stage fails, nothing that was written stays; else the last table, which the result reads."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-        if i:
-            Scratch(spark).drop(f"{folder}/{i - 1}")  # only the last stage's rows are read again
+    folder, scratch = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", Scratch(spark)
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                scratch.drop(f"{folder}/{i - 1}")  # only the last stage's rows are read again
+    except BaseException:
+        scratch.drop(folder)
+        raise
     return docs
