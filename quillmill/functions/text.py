@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x1C-\x1F]"
+#: The same characters.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 #: Characters that composition never changes, whatever stands beside them: ASCII, the letters of Latin, Greek and Cyrillic that
@@ -27,7 +29,8 @@ def _composed(text: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Unicode compatibility composition; there is no such built-in. Texts of STABLE characters alone are not sent to Python."""
-    return F.coalesce(_composed(F.when(~text.rlike(rf"\A{STABLE}*+\z"), text)), text)
+    plain = (F.octet_length(text) == F.length(text)) | text.rlike(rf"\A{STABLE}*+\z")  # ASCII alone, which is quickly seen, or STABLE
+    return F.coalesce(_composed(F.when(~plain, text)), text)
 
 
 def line_endings(text: Column) -> Column:
@@ -40,13 +43,13 @@ def without_controls(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tidy_space(text: Column) -> Column:
     """Single spaces within lines, none at their ends, at most one blank line, none at the ends of the text."""
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r" *\n *", "\n")
+    text = F.regexp_replace(text, r" [ \t]+|\t[ \t]*", " ")  # single spaces are no match, nor are line feeds alone
+    text = F.regexp_replace(text, r" *\n +| +\n", "\n")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
@@ -62,7 +65,7 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def collapse(text: Column) -> Column:
     """Every run of white space is one space, none at the ends; null is empty."""
-    return strip(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), rf"(?U){SPACE}+", " "))
+    return strip(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), rf"(?U) {SPACE}+|[{SPACE[1:-1]}&&[^ ]]{SPACE}*", " "))
 
 
 def words(text: Column) -> Column:

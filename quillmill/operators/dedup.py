@@ -54,10 +54,15 @@ def fingerprint_of(text: str | None, width: int = 3, at_once: int = 1 << 16) ->
     if not words:
         return -1
     shingles = max(1, len(words) - width + 1)
+    # A shingle is a part of the words joined by single spaces.
+    joined = " ".join(words).encode("utf-8", "surrogatepass")
+    starts = np.append(0, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1)
+    ends = np.append(starts[width:] - 1, len(joined))
     counts = np.zeros(64, np.int64)
     for first in range(0, shingles, at_once):
-        digests = b"".join([sha256(" ".join(words[i : i + width]).encode("utf-8", "surrogatepass")).digest()[:8] for i in range(first, min(shingles, first + at_once))])
-        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        last = min(shingles, first + at_once)
+        digests = b"".join([sha256(joined[a:b]).digest() for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True)])
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32)[:, :8], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts >= shingles).tobytes(), "big", signed=True)
 
 

@@ -88,3 +88,15 @@ def test_stable_characters_are_not_sent_to_python(spark):
     assert out == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(given)}
     plan = rows.select(T.nfkc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("CASE WHEN") > 0 and "RLIKE" in plan
+
+
+def test_strip_and_tidy_leave_single_spaces_alone(spark):
+    assert {c for c in map(chr, range(0x110000)) if c.isspace()} == set(T.SPACES)
+    texts = [f"{c} a{c}{c} b \n{c}\n\n \n c {c}" for c in T.SPACES] + ["", " ", "\t", "a \n b", "a\n \t\nb", "x  y \t z\t", "\u200b x \u200b", None]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip(F.col("t")).alias("s"), T.collapse(F.col("t")).alias("c"), T.tidy_space(F.col("t")).alias("y")).collect()
+
+    def tidy(t):
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", t))).strip()
+
+    for t, s, c, y in out:
+        assert (s, c, y) == ((None, "", None) if t is None else (t.strip(), " ".join(t.split()), tidy(t)))
