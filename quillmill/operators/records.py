@@ -108,14 +108,18 @@ def passage_records(chunks: DataFrame, source: Column) -> DataFrame:
     return out.withColumn("id", T.stable_id(*[F.col(f) for f in ("instruction", "input", "response", "category", "source")])).drop("_k", "chunk")
 
 
-def distinct_records(records: DataFrame, order: list[str]) -> DataFrame:
+def distinct_records(records: DataFrame, order: list[str], columns: list[str] | None = None) -> DataFrame:
     """The first record of each (instruction, input, response), in the order of the columns given, in which no two are equal.
 
     Keys are compared by a digest, with the length of each part, so that no two keys read the same.
+    columns: those to keep, if only narrow ones are needed: nothing else is then shuffled, and records are computed once.
     """
     parts = [F.coalesce(F.col(f), F.lit("")) for f in ("instruction", "input", "response")]
     key = F.sha2(F.concat_ws("\n", *[F.octet_length(p) for p in parts], *parts), 256)
-    return first_rows(records, key, order)
+    if columns is None:
+        return first_rows(records, key, order)
+    kept = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *columns)
+    return records.groupBy(F.unhex(key).alias("_key")).agg(F.min(kept).alias("_r")).select(*[F.col(f"_r.`{c}`") for c in columns])
 
 
 def problem(instruction: Column, input_: Column, response: Column, category: Column, categories: tuple[str, ...]) -> Column:

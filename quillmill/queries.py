@@ -187,7 +187,10 @@ def passage_audit(spark, sf_dir):
     chunks = records.paragraph_chunks(_docs(spark, sf_dir).select("doc_id", "source", "text"), F.col("text"))
     rows = records.passage_records(chunks.select("doc_id", "chunk_no", F.col("source").alias("src"), "chunk"), F.col("src"))
     made = rows.withColumn("rank", F.when(F.col("category") == "grounded_extraction", 0).when(F.col("category") == "grounded_explanation", 1).otherwise(2))
-    return records.distinct_records(made, ["doc_id", "rank", "chunk_no"]).select("doc_id", "category", "instruction", F.sha2("input", 256).alias("input_sha256"), "id")
+    # Digests go through the shuffle as bytes.
+    made = made.select("*", F.unhex(F.sha2("input", 256)).alias("_sha"), F.unhex("id").alias("_id"))
+    out = records.distinct_records(made, ["doc_id", "rank", "chunk_no"], ["doc_id", "category", "instruction", "_sha", "_id"])
+    return out.select("doc_id", "category", "instruction", F.lower(F.hex("_sha")).alias("input_sha256"), F.lower(F.hex("_id")).alias("id"))
 
 
 def row_to_text(spark, sf_dir):
