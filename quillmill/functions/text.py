@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,9 +22,14 @@ SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0
 STABLE = r"[\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u0391-\u03A1\u03A3-\u03CE\u0400-\u0481\u2010\u2012-\u2016\u2018-\u201F\u2020-\u2022\u20AC\u4E00-\u9FFF]"
 
 
-@F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+#: Texts of a batch that are Python's at a time.
+AT_ONCE = 64
+
+
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    parts = (texts.slice(i, AT_ONCE).to_pylist() for i in range(0, len(texts), AT_ONCE))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part], pa.string()) for part in parts)])
 
 
 def nfkc(text: Column) -> Column:

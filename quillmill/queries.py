@@ -10,7 +10,7 @@ from .functions import text as T
 from .oracles import ORACLES
 from .operators import dedup, metrics, packing, records, splits, tokens
 from .plans import corpus, training
-from .session import materialized, shared_folder, table
+from .session import arrow_bounds, materialized, shared_folder, table
 from .sources import formats, objects
 from .sources.lines import numbered_lines
 
@@ -18,6 +18,7 @@ CONTEXT, STRIDE, SHARD = 256, 128, 50_000
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_bounds(spark)
     return table(spark, sf_dir, "documents")
 
 

@@ -47,6 +47,12 @@ def shared_folder(spark: SparkSession, name: str) -> Iterator[str]:
 
 
 
+def arrow_bounds(spark: SparkSession) -> None:
+    """Arrow batches of 512 rows, so that whole texts don't pile up in a worker; a session with a setting of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "512")
+
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if it has at most so many rows and bytes (of its values as JSON); df should be cheap to read again."""

@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill import queries
 from quillmill.functions import quality
 from quillmill.functions import text as T
 
@@ -100,3 +101,18 @@ def test_strip_and_tidy_leave_single_spaces_alone(spark):
 
     for t, s, c, y in out:
         assert (s, c, y) == ((None, "", None) if t is None else (t.strip(), " ".join(t.split()), tidy(t)))
+
+
+def test_composed_documents_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        rows = queries.composed_documents(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "512"
+        assert rows.count() == 200
+    finally:
+        spark.conf.set(key, was)
+    texts = [None if i % 7 == 0 else "e\u0301" * i for i in range(3 * T.AT_ONCE + 1)]
+    found = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.nfkc(F.col("t")).alias("c")).collect()
+    assert {r["i"]: r["c"] for r in found} == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
