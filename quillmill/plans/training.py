@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import packing, splits
 from ..operators.scan import numbered
+from ..session import materialized
 from ..sources.lines import numbered_lines
 
 ORDER = ["file", "row_index"]
@@ -21,11 +22,17 @@ EVALUATION_STRIDE = 256
 
 
 def parquet_texts(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """file, row_index, text, split of the rows that have a text; split: the one to read."""
+    """file, row_index, text, split of the rows that have a text; split: the one to read.
+
+    A row group is read by one task, so rows are dealt out before they are made text.
+    """
     rows = spark.read.parquet(path)
-    row_index = F.col("_metadata.row_index")
-    out = rows.select(
-        F.col("_metadata.file_path").alias("file"), row_index.alias("row_index"), splits.row_to_text(rows.columns, dict(rows.dtypes)).alias("text"),
+    kinds = [F.col(f"`{c}`").alias(c) for c in rows.columns]
+    placed = rows.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row_index"), *kinds)
+    placed = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_file", "_row_index")
+    row_index = F.col("_row_index")
+    out = placed.select(
+        F.col("_file").alias("file"), row_index.alias("row_index"), splits.row_to_text(rows.columns, dict(rows.dtypes)).alias("text"),
         splits.row_split(row_index, {c: splits.python_text(F.col(f"`{c}`"), kind) for c, kind in rows.dtypes}).alias("split"),
     ).filter("text <> ''")
     return out.filter(F.col("split") == split) if split else out
@@ -52,6 +59,7 @@ def dataset(texts: DataFrame, encode: Callable[[Column], Column], *, kind: str =
     if kind not in ("lm", "seq2seq"):
         raise ValueError(f"{kind} is neither lm nor seq2seq")
     ids = texts.select(*ORDER, encode(F.col("text")).alias("ids"))
+    ids = materialized(ids)  # read for lengths, then for windows
     if kind == "seq2seq":
         return packing.seq2seq_windows(ids, ORDER, context, bos, eos)
     return packing.lm_windows(ids, ORDER, context, stride or STRIDES.get(split, EVALUATION_STRIDE))
